@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.session import table
-from . import bpe, packing, token_counts, wavelet
+from . import bpe, packing, quality_rules, sharding, token_counts, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -24,9 +24,17 @@ def op3_token_files(spark, sf_dir):
     return wavelet.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op6_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
