@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.session import table
-from . import bpe, packing, quality_rules, sharding, token_counts, wavelet
+from . import ann, bpe, classifier, jaccard_join, packing, quality_rules, sharding, token_counts, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -36,5 +36,17 @@ def op6_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe)}
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op8_classifier(spark, sf_dir):
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_nearest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe, op7_jaccard_join, op8_classifier, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
