@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from quaestor.llm import packing
+from quaestor.llm import classifier, jaccard_join, packing, para_dedup, quality_rules
 from quaestor.llm.queries import tokenizer
 from quaestor.sources.session import Workspace, table
 
 
+def _quality_classifier(spark, docs, sf_dir):
+    """Keeps what the classifier predicts to be of quality."""
+    return classifier.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def _quality_rules(spark, docs, sf_dir):
+    """Keeps what the adaptive rules keep."""
+    return quality_rules.filter_documents(docs)
+
+
+def _near_duplicates(spark, docs, sf_dir):
+    """Keeps one document, that of the least id, of each group linked by five-word shingles at 0.8 or more."""
+    return jaccard_join.deduplicate(docs, words=5, percent=80)
+
+
+def _substring_dedup(spark, docs, sf_dir):
+    """Cuts repeated paragraphs and passages out of every document but one."""
+    return para_dedup.clean(docs)
+
+
 def _packing(spark, docs, sf_dir):
+    """Packs what is left."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", _packing)]
+STAGES = [("quality classifier", _quality_classifier), ("quality rules", _quality_rules), ("near duplicates", _near_duplicates), ("substring dedup", _substring_dedup), ("packing", _packing)]
 
 #: SQL can't express the stages; tests hold the run against a plain version.
 ORACLE_SQL = None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTED, CERTAIN, LEAF, SEED = 12, 0.98, 128, 7
+PROJECTED, CERTAIN, LEAF, SEED = 6, 0.7, 64, 7
 BLOCK, QUERIES = 16_384, 4_096
 
 OUT = "query_id long, vec_id long, score double"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.session import table
-from . import ann, bpe, classifier, jaccard_join, packing, quality_rules, sharding, token_counts, wavelet
+from . import ann, bpe, classifier, jaccard_join, packing, para_dedup, quality_rules, sharding, token_counts, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -44,9 +44,13 @@ def op8_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return para_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe, op7_jaccard_join, op8_classifier, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe, op7_jaccard_join, op8_classifier, op9_substring_dedup, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}

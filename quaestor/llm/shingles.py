@@ -75,3 +75,12 @@ class Sieve:
 
     def _bit(self, b: int) -> bool:
         return bool(self.map[1 + b // 32768, b % 32768 // 8] >> (b % 8) & 1)
+
+
+def rolled_rows(values: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix."""
+    out = np.full(len(values), values.shape[1], dtype=np.uint64)
+    for j in range(values.shape[1]):
+        out = (out ^ values[:, j]) * np.uint64(MIX[0])
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(MIX[1])
