@@ -105,7 +105,7 @@ def index_memo(path: str) -> tokens.Memo:
     index = PairIndex(tokens.load(path))
     decoder = Decoder(index.tok)
     text = decoder.text.__getitem__
-    out = tokens.Memo(index.tok, lambda words: [(array("I", ids).tobytes(), " ".join(map(text, ids)) if decoder.plain else "") for ids in index.encode(words)])
+    out = tokens.Memo(index.tok, lambda words: [(array("I", ids).tobytes(), " ".join(map(text, ids)) if decoder.plain else "") for ids in index.encode(words)], lambda values: (b"".join(v[0] for v in values), " ".join(v[1] for v in values)))
     out.decoder = decoder
     return out
 
@@ -115,7 +115,7 @@ def encode_decode(texts: list[str], tokenizer: str) -> list[tuple[bytes, str]]:
     out = []
     for values in memo.values_of(texts):
         ids = b"".join(v[0] for v in values)
-        out.append((ids, " ".join(v[1] for v in values) if memo.decoder.plain else memo.decoder.decode(array("I", ids).tolist())))
+        out.append((ids, " ".join(v[1] for v in values if v[1]) if memo.decoder.plain else memo.decoder.decode(array("I", ids).tolist())))
     return out
 
 
