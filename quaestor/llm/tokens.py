@@ -7,6 +7,7 @@ time and not results.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -76,17 +77,6 @@ class Tokenizer:
             return [w for part in self._special.split(text) for w in ([part] if part in self.special else self._words(part))]
         return self._words(text)
 
-    def chunks(self, text: str) -> list[str] | None:
-        """The text, normalised, cut at its spaces, if the words of a chunk are those it has in the text.
-
-        That holds for tokenizers that drop white space, for plain characters without special strings.
-        """
-        if self.suffix and (text.isascii() or max(text) < chr(PLAIN)) and not ("<|" in text and self._special.search(text)):
-            low = text.lower()
-            if low.isascii() or max(low) < chr(PLAIN):
-                return low.split(" ")
-        return None
-
     def _words(self, text: str) -> list[str]:
         if not text:
             return []
@@ -111,31 +101,26 @@ def load(path: str) -> Tokenizer:
 class Memo(dict):
     """What words give, by a function that is asked for many words at once."""
 
-    def __init__(self, tok: Tokenizer, solve, join=None):
-        """solve(words) gives a value for each word; join(values), where given, those of a chunk as one."""
+    def __init__(self, tok: Tokenizer, solve):
+        """solve(words) gives a value for each word."""
         super().__init__()
-        self.tok, self.solve, self.join = tok, solve, join
-        self.by_chunk: dict[str, object] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self) > WORDS:
-            self.clear()
-        missing = list(words.difference(self))
-        self.update(zip(missing, self.solve(missing), strict=True))
+        self.tok, self.solve = tok, solve
 
     def values_of(self, texts: list[str]) -> list[list]:
-        """For each text the values of its chunks or words, in order."""
-        split = [self.tok.chunks(t) if self.join else None for t in texts]
-        words = [self.tok.words(t) if c is None else () for t, c in zip(texts, split)]
-        if len(self.by_chunk) > WORDS // 2:
-            self.by_chunk.clear()
-        new = set().union(*(c for c in split if c is not None)).difference(self.by_chunk)
-        parts = {c: self.tok.words(c) for c in new}
-        self._learn(set().union(*words, *parts.values()))
-        get, join = self.__getitem__, self.join
-        self.by_chunk.update((c, join(list(map(get, p)))) for c, p in parts.items())
-        of_chunk = self.by_chunk.__getitem__
-        return [list(map(get, w)) if c is None else list(map(of_chunk, c)) for c, w in zip(split, words)]
+        """For each text the values of its words, in order."""
+        on = gc.isenabled()
+        gc.disable()  # millions of words live for a moment, without cycles
+        try:
+            split = [self.tok.words(t) for t in texts]
+            if len(self) > WORDS:
+                self.clear()
+            missing = list(set().union(*split).difference(self))
+            self.update(zip(missing, self.solve(missing), strict=True))
+            get = self.__getitem__
+            return [list(map(get, words)) for words in split]
+        finally:
+            if on:
+                gc.enable()
 
 
 _memos: dict[tuple[str, str], Memo] = {}
@@ -157,7 +142,7 @@ def library_memo(path: str) -> Memo:
         ids = ([special[w]] if w in special else [t.id for t in tokenize(lettered(w))] for w in words)
         return [array("I", x).tobytes() for x in ids]
 
-    return Memo(tok, solve, b"".join)
+    return Memo(tok, solve)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:

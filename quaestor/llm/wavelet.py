@@ -42,9 +42,10 @@ def build(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     null = np.array([d is None for d in doc_ids], dtype=bool)
     sections = [pack(np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()), pack(np.packbits(null).tobytes()), pack(np.array(lengths, dtype="<u4").tobytes())]
-    seq = ids.astype(np.uint32)
+    kind = np.uint16 if bits <= 16 else np.uint32
+    seq = ids.astype(kind)
     for b in reversed(range(bits)):
-        plane = (seq >> np.uint32(b) & np.uint32(1)).astype(bool)
+        plane = (seq & kind(1 << b)) != 0
         seq = np.concatenate([seq[~plane], seq[plane]])
         blocks = [plane[s : s + BLOCK] for s in range(0, n, BLOCK)]
         ones = np.concatenate([[0], np.cumsum([x.sum() for x in blocks], dtype=np.int64)]).astype("<u8")
@@ -142,14 +143,15 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the lowest plane up, each plane's partition is undone."""
-        values = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        values = np.zeros(self.n, dtype=kind)
         for level in reversed(range(self.bits)):
             _, at, s = self.planes[level]
             packed = b"".join(self.unpack(s[at[k] : at[k + 1]]) for k in range(self.n_blocks))
             bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little")[: self.n].astype(bool)
             out, z = np.empty_like(values), self.zeros[level]
             out[~bits] = values[:z]
-            out[bits] = values[z:] | np.uint32(1 << (self.bits - 1 - level))
+            out[bits] = values[z:] | kind(1 << (self.bits - 1 - level))
             values = out
         return values
 
