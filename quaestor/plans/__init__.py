@@ -1,0 +1,6 @@
+"""The queries over the driver's tables, by name, and their SQL."""
+
+from . import select  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
