@@ -1,6 +1,7 @@
 """The queries over the driver's tables, by name, and their SQL."""
 
-from . import select  # noqa: F401
+from . import construct, score, select  # noqa: F401
+from .construct import flagship
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
