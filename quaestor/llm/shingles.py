@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORDS = 1_000_000  # entries of the memo of words
+WORDS = 300_000  # entries of the memo of words
 
 
 class _Hashes(dict):
