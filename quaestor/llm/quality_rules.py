@@ -112,10 +112,11 @@ def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source
     return joined.withColumn("kept", verdict).drop("_text", "_lang", "_source", "_of_lang", "_of_source", *(f"_{m}" for m in MEASURES))
 
 
-def filter_documents(df: DataFrame, **columns) -> DataFrame:
+def filter_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of df that are kept, with df's columns."""
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     # a number that isn't known beforehand keeps the verdict from being put in place of its name over and over
-    return judged(df, **columns).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0").select(*df.columns)
+    return judged(packed).withColumn("_n", F.monotonically_increasing_id()).where("kept AND _n >= 0").select("row.*")
 
 
 def quality_rules(df: DataFrame) -> DataFrame:
