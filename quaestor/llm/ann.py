@@ -8,7 +8,7 @@ projected distance, verifies the vectors in them by whole inner products, and st
 k-th so far would lie beyond the next leaf's distance with probability CERTAIN or more by the chi-square law.
 
 Vectors that are null, all zeros, of another length than most, or hold null or non-finite components take no part.
-Rows with equal ids are candidates each, but not for queries of that id. Columns besides the id and the vector are
+Rows with equal ids are candidates each, but not for queries of that id, which is asked once, by its least vector. Columns besides the id and the vector are
 not read; a table without rows gives none. Equal scores go by the smaller id.
 """
 
@@ -123,9 +123,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     blocks, groups = max(1, -(-(facts["n"] or 0) // BLOCK)), max(1, -(-(facts["q"] or 0) // QUERIES))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    narrow = F.col("v")
-    data = rows.select("id", narrow.alias("v"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b")).withColumn("g", every_one(groups))
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", narrow.alias("v"), deal(groups, 2).alias("g")).withColumn("b", every_one(blocks))
+    data = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b")).withColumn("g", every_one(groups))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", deal(groups, 2).alias("g")).withColumn("b", every_one(blocks))
 
     def read(part: pa.Table):
         v = part.column("v").combine_chunks()
