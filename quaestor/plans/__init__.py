@@ -1,6 +1,6 @@
 """The queries over the driver's tables, by name, and their SQL."""
 
-from . import construct, generate, score, select  # noqa: F401
+from . import adapt, construct, generate, score, select  # noqa: F401
 from .construct import flagship
 from .registry import ORACLE_SQL, QUERIES
 
