@@ -125,7 +125,7 @@ def bpe_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in tokens.slices(texts, 8_000_000):
+            for a, b in tokens.slices(texts, 4_000_000):
                 rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for x, d in encode_decode([t or "" for t in texts.slice(a, b - a).to_pylist()], tokenizer)]
                 n, x, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(x), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

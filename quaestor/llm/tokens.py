@@ -17,7 +17,7 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-WORDS = 1_000_000  # entries of a memo
+WORDS = 500_000  # entries of a memo
 
 #: Below this code point case mapping, composition and letter classes don't differ between libraries.
 PLAIN = 0x250
@@ -150,7 +150,7 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     return list(map(b"".join, memo("library", path, library_memo).values_of(texts)))
 
 
-def slices(batch, most: int = 4_000_000):
+def slices(batch, most: int = 2_000_000):
     """Runs (start, stop) of a batch's rows whose texts have about that many characters together."""
     import pyarrow.compute as pc
 
