@@ -2,12 +2,15 @@
 
 Two kinds of paragraphs are looked at. Lines of MIN_WORDS words or more have BANDS bands of ROWS minimum hashes over
 their word shingles, so that a pair at the least similarity is missed once in about seventy times; pairs that share a
-band are verified by the exact Jaccard similarity of their shingles. Paragraphs that overlap, of STRIDE runs of ANCHOR
-words at every word of a text, have one minimum hash each; texts that share one are compared word by word around it,
-so any passage of STRIDE + ANCHOR - 1 words or more that two texts share is found whole, wherever it stands, and
-counts if it has MIN_WORDS words. Each band pairs its paragraphs with its least one only, so a hot group costs as
-much as its members. Similar lines are clustered by connected components; every member but the least (by document,
-then line) goes. A passage goes from every document but the least that holds it.
+band are verified by the exact Jaccard similarity of their shingles. Lines of equal words form a class. Each band first
+pairs its classes with that of its least line; then, of bands whose classes still lie in several components, all pairs
+across components are verified, in blocks of bounded size. Similar lines of different documents are clustered by
+connected components; every member but the least (by document, then line) goes.
+
+Paragraphs that overlap, of STRIDE runs of ANCHOR words at every word of a text, have one minimum hash each; a text is
+compared word by word around it with the least one that has it, so a passage of STRIDE + ANCHOR - 1 words or more is
+found whole, wherever it stands, if that one holds it too, and counts if it has MIN_WORDS words. A passage goes from
+every document but the least that holds it.
 
 Words are runs without ASCII white space, A-Z in lower case. Null and empty texts have no paragraphs. Rows with equal
 id and text are one document. Columns besides the id and the text are kept by clean(); a table without rows gives
@@ -17,10 +20,12 @@ none.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +36,10 @@ from . import shingles as S
 MIN_WORDS, SHINGLE, PERCENT = 50, 5, 80
 BANDS, ROWS = 6, 3
 ANCHOR, STRIDE = 24, 27
+BLOCK = 1 << 20  # bytes of the sets that a block of lines holds
 
-KEYS = "key long, id long, th long, line int, pos int"
+KEYS = "key long, cls long, id long, th long, line int, pos int"
+FIRST = "kind string, key long, cls long, id long, th long, line int, pos int, k_cls long, k_id long, k_th long, k_pos int"
 PAIRS = "id long, th long, line int, pos int, k_id long, k_th long, k_line int, k_pos int"
 LINKS = "kind string, id long, th long, line int, start int, stop int, words int, k_id long, k_th long, k_line int, k_start int, k_stop int, k_words int"
 
@@ -47,6 +54,12 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     return S.rolled_rows(least) ^ np.arange(BANDS, dtype=np.uint64)
 
 
+def _hashed(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each start on."""
+    raw = words.tobytes()
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * s : 8 * (s + n)]) for s in starts.tolist()), dtype=np.uint64, count=len(starts))
+
+
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minimum hashes of the overlapping paragraphs and where their words begin."""
     if len(words) < ANCHOR:
@@ -68,29 +81,40 @@ def _rows(schema: str, cols) -> pa.RecordBatch:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """docs: id, th, text. Line keys have the line and pos -1; anchors have line -1 and their word."""
+    """docs: id, th, text. Anchors have line -1 and their word.
+
+    Lines have a row for each band with pos -1 and the hash of their words as their class, and one with that hash as
+    the key, their ends in place of the class, and -2 - their words as pos.
+    """
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for id_, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = [S.word_hashes(line) for line in (text or "").split("\n")]
-                for k, words in enumerate(parts):
+                text, parts = text or "", []
+                for k, (s, e) in enumerate(_lines(text)):
+                    words = S.word_hashes(text[s:e])
+                    parts.append(words)
                     if len(words) >= MIN_WORDS:
-                        keys = band_keys(words)
-                        out.append((keys, id_, th, np.full(len(keys), k, np.int32), np.full(len(keys), -1, np.int32)))
+                        name = _hashed(words, np.zeros(1, np.int64), len(words))
+                        keys, cls = np.append(band_keys(words), name), np.full(BANDS + 1, name.view(np.int64)[0])
+                        pos = np.full(BANDS + 1, -1, np.int32)
+                        cls[-1], pos[-1] = s << 32 | e, -2 - len(text[s:e].split())
+                        out.append((keys, cls, id_, th, np.full(BANDS + 1, k, np.int32), pos))
                 keys, at = anchors(np.concatenate(parts))
                 if len(keys):
-                    out.append((keys, id_, th, np.full(len(keys), -1, np.int32), at.astype(np.int32)))
+                    out.append((keys, np.zeros(len(keys), np.int64), id_, th, np.full(len(keys), -1, np.int32), at.astype(np.int32)))
             if out:
                 sizes = [len(o[0]) for o in out]
-                yield _rows(KEYS, [np.concatenate([o[0] for o in out]).view(np.int64), np.repeat(np.array([o[1] for o in out], np.int64), sizes), np.repeat(np.array([o[2] for o in out], np.int64), sizes), np.concatenate([o[3] for o in out]), np.concatenate([o[4] for o in out])])
+                whole = lambda k: np.concatenate([o[k] for o in out])
+                yield _rows(KEYS, [whole(0).view(np.int64), whole(1), np.repeat(np.array([o[2] for o in out], np.int64), sizes), np.repeat(np.array([o[3] for o in out], np.int64), sizes), whole(4), whole(5)])
 
     return docs.mapInArrow(run, KEYS)
 
 
 def _starred(keys: DataFrame) -> DataFrame:
-    """Pairs of each paragraph with the least one that has its key, if that is another document's."""
+    """Rows beside the least one of their key. Kinds: line (as it is); band, where the classes differ; same, of anchors
+    that another document holds."""
 
     def run(batches):
         first = None  # the least paragraph of the key that the last batch ended in
@@ -107,11 +131,14 @@ def _starred(keys: DataFrame) -> DataFrame:
                 for c, v in zip(least, first):
                     c[:stop] = v
             first = [c[-1] for c in least]
-            other = (least[1] != cols[1]) | (least[2] != cols[2])
-            if other.any():
-                yield _rows(PAIRS, [c[other] for c in cols[1:]] + [c[other] for c in least[1:]])
+            cls, pos = cols[1], cols[5]
+            odd, other = cls != least[1], ((least[2] != cols[2]) | (least[3] != cols[3])) & (pos >= 0)
+            kinds = {"line": pos < -1, "band": (pos == -1) & odd, "same": other}
+            for kind, chosen in kinds.items():
+                if chosen.any():
+                    yield _rows(FIRST, [pa.array([kind] * int(chosen.sum())), *(c[chosen] for c in cols), *(c[chosen] for c in least[1:4]), least[5][chosen]])
 
-    return keys.repartition("key").sortWithinPartitions("key", "id", "th", "line", "pos").mapInArrow(run, PAIRS)
+    return keys.repartition("key").sortWithinPartitions("key", "id", "th", "line", "pos").mapInArrow(run, FIRST)
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -122,6 +149,14 @@ def _lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Of two sorted sets."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
 def compare(text: str, other: str, items: list[tuple[int, int, int, int]]) -> list[tuple]:
     """Links of a text with another one: items are (line, word, other's line, other's word); -1 where there is none."""
     found: list[tuple] = []
@@ -133,9 +168,7 @@ def compare(text: str, other: str, items: list[tuple[int, int, int, int]]) -> li
     for line, pos, b_line, b_pos in sorted(set(items)):
         if pos < 0:
             (s, e), (bs, be) = a_lines[line], b_lines[b_line]
-            x, y = S.shingles(text[s:e], SHINGLE), S.shingles(other[bs:be], SHINGLE)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+            if _similar(S.shingles(text[s:e], SHINGLE), S.shingles(other[bs:be], SHINGLE)):
                 found.append(("paragraph", line, s, e, len(text[s:e].split()), b_line, bs, be, len(other[bs:be].split())))
             continue
         delta = pos - b_pos
@@ -172,13 +205,65 @@ def _sifted(docs: DataFrame, sieve) -> DataFrame:
     return docs.withColumn("in", chosen(_hash("id", "th")))
 
 
-def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(live: DataFrame) -> DataFrame:
+    """live: key, cls, comp, doc (if only one has the class), items. Similar classes of a key, across components.
+
+    A key's classes are dealt out in pairs of blocks; what a task has linked it doesn't compare again.
+    """
+    sized = live.groupBy("key").agg(F.ceil(F.sum(F.octet_length("items")) / BLOCK).cast("int").alias("blocks"))
+    dealt = live.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "doc", "items")
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def run(batches):
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            held: dict[int, list[tuple]] = {}  # by component: class, document, set
+            out: list[tuple] = []
+            for _, _, _, cls, comp, doc, items in group:
+                x = np.frombuffer(items, np.uint64)
+                mine = held.pop(comp, [])
+                for c in list(held):
+                    for b, other, y in held[c]:
+                        if (doc is None or doc != other) and _similar(x, y):
+                            out.append((cls, b))
+                            mine += held.pop(c)
+                            break
+                mine.append((cls, doc, x))
+                held[comp] = mine
+            if out:
+                yield _rows("a long, b long", zip(*out))
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "cls").mapInArrow(run, "a long, b long")
+
+
+def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines (cls, id, th, line, start, stop, words); their classes (cls, rep, doc), doc being null if several
+    documents have the class; links of classes (a, b); passages (as LINKS)."""
     docs = _named(df, id_col, text_col)
-    pairs = work.write(_starred(_keys(docs)).distinct(), "pairs")
-    wanted = work.write(pairs.select(F.explode(F.array(F.struct("id", "th"), F.struct(F.col("k_id").alias("id"), F.col("k_th").alias("th")))).alias("d")).select("d.id", "d.th").distinct(), "wanted")
+    first = work.write(_starred(_keys(docs)), "first")
+    ends = F.col("cls")
+    lines = first.where("kind = 'line'").select(F.col("key").alias("cls"), "id", "th", "line", F.shiftright(ends, 32).cast("int").alias("start"), ends.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("stop"), (-2 - F.col("pos")).alias("words")).dropDuplicates(["id", "th", "line"])
+    lines = work.write(lines, "lines")
+    doc = F.xxhash64("id", "th")
+    classes = lines.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("rep"), F.min(doc).alias("x"), F.max(doc).alias("y"))
+    classes = work.write(classes.select("cls", "rep", F.when(F.col("x") == F.col("y"), F.col("x")).alias("doc")), "classes")
+
+    bands = first.where("kind = 'band'").select("key", "cls", "k_cls")
+    side = lambda c: classes.select(F.col("cls").alias(c), *(F.col(f"rep.{f}").alias(f if c == "cls" else f"k_{f}") for f in ("id", "th", "line")))
+    near = bands.select("cls", "k_cls").distinct().join(side("cls"), "cls").join(side("k_cls"), "k_cls").select("id", "th", "line", F.lit(-1).alias("pos"), "k_id", "k_th", "k_line", F.lit(-1).alias("k_pos"))
+    near = work.write(near, "near")
+    at = lambda rows: rows.select("id", "th", "line", "pos", "k_id", "k_th", F.lit(-1).alias("k_line"), "k_pos")
+    same = first.where("kind = 'same'")
+
+    both = lambda rows: rows.select("id", "th").unionByName(rows.select(F.col("k_id").alias("id"), F.col("k_th").alias("th")))
+    wanted = work.write(both(near).unionByName(both(same)).distinct(), "wanted")
     sieve = df.sparkSession.sparkContext.broadcast(S.Sieve(wanted.select(_hash("id", "th").alias("h")), "h"))
     texts = _sifted(docs, sieve).where("in").drop("in").join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     texts = work.write(texts, "texts")
+    pairs = work.write(near.unionByName(at(same)).distinct(), "pairs")
     grouped = pairs.groupBy("id", "th", "k_id", "k_th").agg(F.collect_list(F.struct("line", "pos", "k_line", "k_pos")).alias("items"))
     both = grouped.join(texts, ["id", "th"]).join(texts.select(F.col("id").alias("k_id"), F.col("th").alias("k_th"), F.col("text").alias("k_text")), ["k_id", "k_th"])
 
@@ -195,22 +280,42 @@ def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
                 yield _rows(LINKS, zip(*out))
 
     found = work.write(both.select("id", "th", "k_id", "k_th", "text", "k_text", "items").mapInArrow(run, LINKS), "links")
-    work.drop(pairs, texts, wanted)
-    return found
+
+    of = lambda c, p: classes.select(F.col("cls").alias(c), F.col("doc").alias(f"{c}_doc"), *(F.col(f"rep.{f}").alias(f"{p}{f}") for f in ("id", "th", "line")))
+    linked = found.where("kind = 'paragraph'").join(of("a", ""), ["id", "th", "line"]).join(of("b", "k_"), ["k_id", "k_th", "k_line"])
+    linked = work.write(linked.where("a_doc IS NULL OR b_doc IS NULL OR a_doc <> b_doc").select("a", "b"), "linked")  # lines of one document alone aren't linked
+
+    comp = components(linked, "a", "b").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    left = bands.select("key", "cls").unionByName(bands.select("key", F.col("k_cls").alias("cls"))).distinct().join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    left = work.write(left, "left")
+    several = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    left = work.write(left.join(several, "key", "left_semi"), "several")
+    asked = left.select("cls").distinct().join(classes, "cls").select("cls", "doc", "rep.id", "rep.th", "rep.line")
+    asked = asked.groupBy("id", "th").agg(F.collect_list(F.struct("cls", "doc", "line")).alias("asked")).join(texts, ["id", "th"]).select("text", "asked")
+
+    def sets(batches):
+        for batch in batches:
+            for text, items in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = text.split("\n")
+                yield _rows("cls long, doc long, items binary", zip(*((i["cls"], i["doc"], S.shingles(parts[i["line"]], SHINGLE).tobytes()) for i in items)))
+
+    held = work.write(asked.mapInArrow(sets, "cls long, doc long, items binary"), "sets")
+    rest = _across(left.join(held, "cls"))
+    linked = work.write(linked.unionByName(rest).distinct(), "linked")
+    work.drop(first, near, pairs, texts, wanted, left, held)
+    return lines, classes, linked, found.where("kind = 'passage'")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th, kind, start, stop (characters of the text), words, kept_id: what goes, and the least document with it."""
     work = Workspace(df.sparkSession)
-    found = links(df, work, id_col, text_col)
-    lines = found.where("kind = 'paragraph'")
-    node = lambda p: F.struct(F.col(f"{p}id").alias("id"), F.col(f"{p}th").alias("th"), F.col(f"{p}line").alias("line"))
-    roots = components(lines.select(node("").alias("a"), node("k_").alias("b")), "a", "b")
-    least = roots.groupBy("root").agg(F.min("node").alias("kept"))
-    sides = [lines.select(node(p).alias("node"), F.col(f"{p}start").alias("start"), F.col(f"{p}stop").alias("stop"), F.col(f"{p}words").alias("words")) for p in ("", "k_")]
-    gone = sides[0].unionByName(sides[1]).dropDuplicates(["node"]).join(roots, "node").join(least, "root").where("node <> kept")
-    whole = gone.select("node.id", "node.th", F.lit("paragraph").alias("kind"), "start", "stop", "words", F.col("kept.id").alias("kept_id"))
-    parts = found.where("kind = 'passage'").groupBy("id", "th", "start", "stop").agg(F.max("words").alias("words"), F.min("k_id").alias("kept_id")).select("id", "th", F.lit("passage").alias("kind"), "start", "stop", "words", "kept_id")
+    lines, classes, linked, found = links(df, work, id_col, text_col)
+    roots = components(linked, "a", "b").select(F.col("node").alias("cls"), "root")
+    named = classes.join(roots, "cls", "left").where("root IS NOT NULL OR doc IS NULL").withColumn("root", F.coalesce("root", "cls"))
+    least = named.groupBy("root").agg(F.min("rep").alias("kept"))
+    gone = lines.join(named.join(least, "root").select("cls", "kept"), "cls").where(F.struct("id", "th", "line") != F.col("kept"))
+    whole = gone.select("id", "th", F.lit("paragraph").alias("kind"), "start", "stop", "words", F.col("kept.id").alias("kept_id"))
+    parts = found.groupBy("id", "th", "start", "stop").agg(F.max("words").alias("words"), F.min("k_id").alias("kept_id")).select("id", "th", F.lit("passage").alias("kind"), "start", "stop", "words", "kept_id")
     return work.write(whole.unionByName(parts), "removals")
 
 
