@@ -7,10 +7,11 @@ pairs its classes with that of its least line; then, of bands whose classes stil
 across components are verified, in blocks of bounded size. Similar lines of different documents are clustered by
 connected components; every member but the least (by document, then line) goes.
 
-Paragraphs that overlap, of STRIDE runs of ANCHOR words at every word of a text, have one minimum hash each; a text is
-compared word by word around it with the least one that has it, so a passage of STRIDE + ANCHOR - 1 words or more is
-found whole, wherever it stands, if that one holds it too, and counts if it has MIN_WORDS words. A passage goes from
-every document but the least that holds it.
+Paragraphs that overlap, of STRIDE runs of ANCHOR words at every word of a text, have one minimum hash each. A run that
+stands in the same surroundings (all words that a paragraph around it can reach) as in the least document with it is
+compared with that one. Of other runs, each paragraph of MIN_WORDS words is looked up by a hash of all its words, and
+compared with the least document that holds it. So any passage of MIN_WORDS words or more that two texts share is found
+whole, wherever it stands, and goes from every document but the least that holds it.
 
 Words are runs without ASCII white space, A-Z in lower case. Null and empty texts have no paragraphs. Rows with equal
 id and text are one document. Columns besides the id and the text are kept by clean(); a table without rows gives
@@ -35,8 +36,9 @@ from . import shingles as S
 
 MIN_WORDS, SHINGLE, PERCENT = 50, 5, 80
 BANDS, ROWS = 6, 3
-ANCHOR, STRIDE = 24, 27
+ANCHOR, STRIDE = 24, 27  # STRIDE + ANCHOR - 1 is MIN_WORDS
 BLOCK = 1 << 20  # bytes of the sets that a block of lines holds
+LOOSE = -1  # the surroundings of runs that are not all listed
 
 KEYS = "key long, cls long, id long, th long, line int, pos int"
 FIRST = "kind string, key long, cls long, id long, th long, line int, pos int, k_cls long, k_id long, k_th long, k_pos int"
@@ -60,18 +62,48 @@ def _hashed(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * s : 8 * (s + n)]) for s in starts.tolist()), dtype=np.uint64, count=len(starts))
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum hashes of the overlapping paragraphs and where their words begin."""
-    if len(words) < ANCHOR:
-        return words[:0], np.zeros(0, dtype=np.int64)
+def _least_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs, and for each paragraph where its least run begins; at least MIN_WORDS words."""
     runs = S.rolled(words, ANCHOR)
-    span = min(STRIDE, len(runs))
-    seen = np.lib.stride_tricks.sliding_window_view(runs, span)
-    at = np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
-    if len(at) > 1:  # of one run again and again, one in each paragraph is enough
+    seen = np.lib.stride_tricks.sliding_window_view(runs, STRIDE)
+    return runs, np.arange(len(seen)) + seen.argmin(axis=1)
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum hashes of the overlapping paragraphs, where their words begin, and hashes of their surroundings."""
+    if len(words) < MIN_WORDS:
+        return words[:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    runs, at = _least_runs(words)
+    at = np.unique(at)
+    loose = np.zeros(len(at), dtype=bool)
+    if len(at) > 1:  # of one run again and again, one in each paragraph stands for all
         same = runs[at[1:]] == runs[at[:-1]]
-        at = at[np.concatenate([[True], ~same | (at[1:] % STRIDE == 0)])]
-    return runs[at], at
+        loose[1:] |= same
+        loose[:-1] |= same
+        keep = np.concatenate([[True], ~same | (at[1:] % STRIDE == 0)])
+        at, loose = at[keep], loose[keep]
+    # words before the text begins and after it ends are 0
+    around = np.concatenate([np.zeros(STRIDE - 1, np.uint64), words, np.zeros(STRIDE - 1, np.uint64)])
+    cls = (_hashed(around, at, MIN_WORDS + STRIDE - 1) >> np.uint64(1)).view(np.int64)
+    return runs[at], at, np.where(loose, LOOSE, cls)
+
+
+def passages(words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the paragraphs whose least run is one of the keys, and where that run begins.
+
+    Of equal paragraphs of one text that touch, those that cover all of them.
+    """
+    runs, at = _least_runs(words)
+    starts = np.flatnonzero(np.isin(runs[at], keys))
+    whole = _hashed(words, starts, MIN_WORDS)
+    order = np.lexsort((starts, whole))
+    keep: list[int] = []
+    for i, x in enumerate(order):
+        new = i == 0 or whole[order[i - 1]] != whole[x]
+        last = i + 1 == len(order) or whole[order[i + 1]] != whole[x]
+        if new or last or starts[order[i + 1]] > starts[keep[-1]] + MIN_WORDS:
+            keep.append(x)
+    return whole[keep], at[starts[keep]]
 
 
 def _rows(schema: str, cols) -> pa.RecordBatch:
@@ -81,7 +113,7 @@ def _rows(schema: str, cols) -> pa.RecordBatch:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """docs: id, th, text. Anchors have line -1 and their word.
+    """docs: id, th, text. Anchors have line -1, their word, and the hash of their surroundings as their class.
 
     Lines have a row for each band with pos -1 and the hash of their words as their class, and one with that hash as
     the key, their ends in place of the class, and -2 - their words as pos.
@@ -101,9 +133,9 @@ def _keys(docs: DataFrame) -> DataFrame:
                         pos = np.full(BANDS + 1, -1, np.int32)
                         cls[-1], pos[-1] = s << 32 | e, -2 - len(text[s:e].split())
                         out.append((keys, cls, id_, th, np.full(BANDS + 1, k, np.int32), pos))
-                keys, at = anchors(np.concatenate(parts))
+                keys, at, cls = anchors(np.concatenate(parts))
                 if len(keys):
-                    out.append((keys, np.zeros(len(keys), np.int64), id_, th, np.full(len(keys), -1, np.int32), at.astype(np.int32)))
+                    out.append((keys, cls, id_, th, np.full(len(keys), -1, np.int32), at.astype(np.int32)))
             if out:
                 sizes = [len(o[0]) for o in out]
                 whole = lambda k: np.concatenate([o[k] for o in out])
@@ -113,8 +145,8 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _starred(keys: DataFrame) -> DataFrame:
-    """Rows beside the least one of their key. Kinds: line (as it is); band, where the classes differ; same, of anchors
-    that another document holds."""
+    """Rows beside the least one of their key. Kinds: line (as it is); band, where the classes differ; of anchors that
+    another document holds, same, where the classes are equal, and live, where they differ or don't tell."""
 
     def run(batches):
         first = None  # the least paragraph of the key that the last batch ended in
@@ -133,7 +165,7 @@ def _starred(keys: DataFrame) -> DataFrame:
             first = [c[-1] for c in least]
             cls, pos = cols[1], cols[5]
             odd, other = cls != least[1], ((least[2] != cols[2]) | (least[3] != cols[3])) & (pos >= 0)
-            kinds = {"line": pos < -1, "band": (pos == -1) & odd, "same": other}
+            kinds = {"line": pos < -1, "band": (pos == -1) & odd, "same": other & ~odd & (cls != LOOSE), "live": other & (odd | (cls == LOOSE))}
             for kind, chosen in kinds.items():
                 if chosen.any():
                     yield _rows(FIRST, [pa.array([kind] * int(chosen.sum())), *(c[chosen] for c in cols), *(c[chosen] for c in least[1:4]), least[5][chosen]])
@@ -205,6 +237,20 @@ def _sifted(docs: DataFrame, sieve) -> DataFrame:
     return docs.withColumn("in", chosen(_hash("id", "th")))
 
 
+def _passage_keys(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows like those of anchors for all paragraphs around the live runs of a document."""
+    asked = texts.join(live.groupBy("id", "th").agg(F.collect_set("key").alias("keys")), ["id", "th"]).select("id", "th", "text", "keys")
+
+    def run(batches):
+        for batch in batches:
+            for id_, th, text, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                key, at = passages(S.word_hashes(text), np.array(keys, np.int64).view(np.uint64))
+                n = len(key)
+                yield _rows(KEYS, [key.view(np.int64), np.zeros(n, np.int64), np.full(n, id_), np.full(n, th), np.full(n, -1, np.int32), at.astype(np.int32)])
+
+    return asked.mapInArrow(run, KEYS)
+
+
 def _across(live: DataFrame) -> DataFrame:
     """live: key, cls, comp, doc (if only one has the class), items. Similar classes of a key, across components.
 
@@ -256,14 +302,16 @@ def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
     near = bands.select("cls", "k_cls").distinct().join(side("cls"), "cls").join(side("k_cls"), "k_cls").select("id", "th", "line", F.lit(-1).alias("pos"), "k_id", "k_th", "k_line", F.lit(-1).alias("k_pos"))
     near = work.write(near, "near")
     at = lambda rows: rows.select("id", "th", "line", "pos", "k_id", "k_th", F.lit(-1).alias("k_line"), "k_pos")
-    same = first.where("kind = 'same'")
+    same, live = first.where("kind = 'same'"), first.where("kind = 'live'")
+    live = live.select("id", "th", "key").unionByName(live.select(F.col("k_id").alias("id"), F.col("k_th").alias("th"), "key"))
 
     both = lambda rows: rows.select("id", "th").unionByName(rows.select(F.col("k_id").alias("id"), F.col("k_th").alias("th")))
-    wanted = work.write(both(near).unionByName(both(same)).distinct(), "wanted")
+    wanted = work.write(both(near).unionByName(both(same)).unionByName(live.select("id", "th")).distinct(), "wanted")
     sieve = df.sparkSession.sparkContext.broadcast(S.Sieve(wanted.select(_hash("id", "th").alias("h")), "h"))
     texts = _sifted(docs, sieve).where("in").drop("in").join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     texts = work.write(texts, "texts")
-    pairs = work.write(near.unionByName(at(same)).distinct(), "pairs")
+    again = _starred(_passage_keys(texts, live)).where("kind = 'same'")
+    pairs = work.write(near.unionByName(at(same)).unionByName(at(again)).distinct(), "pairs")
     grouped = pairs.groupBy("id", "th", "k_id", "k_th").agg(F.collect_list(F.struct("line", "pos", "k_line", "k_pos")).alias("items"))
     both = grouped.join(texts, ["id", "th"]).join(texts.select(F.col("id").alias("k_id"), F.col("th").alias("k_th"), F.col("text").alias("k_text")), ["k_id", "k_th"])
 

@@ -341,3 +341,22 @@ def test_near_lines_beside_an_unlike_least_one(spark, monkeypatch):
     keys = {d: set(para_dedup.band_keys(para_dedup.S.word_hashes(t)).tolist()) for d, t in rows[:80]}
     assert all(keys[2 * k] & keys[2 * k + 1] for k in range(40) if 2 * k + 1 in want)
     assert gone == want
+
+
+def test_passages_that_the_least_document_holds_in_part(spark):
+    rnd = random.Random(13)
+    words = lambda k, n: [f"{k}{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, d = [], 0
+    for k in range(25):
+        p, short = words("p", rnd.choice([50, 55, 60, 90])), rnd.randrange(24, 50)
+        cut = rnd.randrange(len(p) - short + 1)
+        part = p[cut : cut + short]
+        rows.append((d, words("a", 5) + part + words("b", rnd.randrange(40)) + (p if k % 3 == 0 else part)))
+        rows.append((d + 1, words("c", 9) + p[: max(50, len(p) - 10)] + words("d", 3)))
+        rows += [(d + i, words("e", i) + p + words("f", 30)) for i in (2, 3)]
+        d += 4
+    period = words("q", 20)
+    rows += [(d, words("g", 3) + (period * 4)[7:62]), (d + 1, (period * 4)[:57] + words("h", 9)), (d + 2, ["w"] * 300), (d + 3, ["v"] + ["w"] * 170 + ["v"])]
+    # in one line each, of which none is like another
+    rows = [(i, " ".join(w[:40]) + "\n" + "\n".join(" ".join(w[j : j + 40]) for j in range(40, len(w), 40))) for i, w in rows]
+    assert reported_gone(spark, rows) == plain_gone(rows)
