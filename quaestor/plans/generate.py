@@ -88,5 +88,5 @@ def scored_requests(spark, d):
     """Prompts through the pluggable batch scorer (rows only: a Python function)."""
     from ..operators.scoring import scored
 
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("prompt"), F.lit(4).alias("n"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"), F.lit(4).alias("n"))
     return scored(rows, "prompt", "n", G.length_scores).select("doc_id", "logits")

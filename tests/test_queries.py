@@ -40,3 +40,10 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_scored_requests_reads_whole_texts(spark):
+    from quaestor.operators.generators import length_scores
+
+    want = {r["doc_id"]: length_scores([r["text"]], [4])[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r["doc_id"]: r["logits"] for r in plans.QUERIES["scored_requests"](spark, DATA).collect()} == want
