@@ -57,13 +57,21 @@ def class_weights(df: DataFrame, family: str, cls: str, cap: float = 3.0) -> Dat
 def distractors(rows: DataFrame, catalog: DataFrame, item: str, gold: str, key: str, n: int, seed, most: int = 10_000) -> DataFrame:
     """For each row n items of the catalog that aren't its own, in an order of the row's own.
 
-    A catalog of up to `most` distinct items goes along with each row as one sorted array; of a larger one, the
-    `most` first in hashed order do.
+    A catalog of up to `most` distinct items goes along with each row as one sorted array; a larger one as several
+    arrays of about that many, whose first n of each row are put together.
     """
-    items = [r[0] for r in catalog.select(item).where(F.col(item).isNotNull()).distinct().orderBy(seeded(seed, item), item).limit(most).collect()]
+    items = catalog.select(item).where(F.col(item).isNotNull()).distinct()
     order = lambda o: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), o), 256).alias("h"), o.alias("o"))
-    ranked = F.sort_array(F.transform(F.filter(F.array(*map(F.lit, items)), lambda o: o != F.col(gold)), order))
-    return rows.select(key, F.explode(F.slice(ranked, 1, n)).alias("x")).select(key, F.col("x.o").alias(item))
+    first = lambda items: F.slice(F.sort_array(F.transform(F.filter(items, lambda o: o != F.col(gold)), order)), 1, n)
+    several = items.count()
+    if several <= most:
+        ranked = rows.select(key, first(F.array(*(F.lit(r[0]) for r in items.collect()))).alias("x"))
+    else:
+        parts = items.groupBy(F.pmod(F.xxhash64(item), F.lit(-(-several // most))).alias("part")).agg(F.collect_list(item).alias("items"))
+        found = rows.groupBy(key, gold).agg(F.count("*").alias("m")).crossJoin(parts).select(key, gold, "m", first(F.col("items")).alias("x"))
+        found = found.groupBy(key, gold, "m").agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, n).alias("x"))
+        ranked = found.select(key, F.explode(F.sequence(F.lit(1).cast("long"), "m")), "x").select(key, "x")
+    return ranked.select(key, F.explode("x").alias("x")).select(key, F.col("x.o").alias(item))
 
 
 def prefix_states(turns: DataFrame, most: int) -> DataFrame:

@@ -100,15 +100,26 @@ def soft_label_normalise(spark, d):
     return rows.select("vec_id", F.posexplode("v").alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 5).alias("p"))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_orderkey % 40 = 0) GROUP BY o_orderkey),
-r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
-def catalog_distractors(spark, d):
+def _distractors(spark, d, chosen):
     part = table(spark, d, "part")
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    lines = table(spark, d, "lineitem").where(chosen).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
     rows = lines.join(part.select("p_partkey", "p_type"), "p_partkey").groupBy("o_orderkey").agg(F.min("p_type").alias("gold"))
     return X.distractors(rows, part, "p_type", "gold", "o_orderkey", 5, 4)
 
 
+@query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_orderkey % 40 = 0) GROUP BY o_orderkey),
+r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
+def catalog_distractors(spark, d):
+    return _distractors(spark, d, "l_linenumber = 1 AND l_orderkey % 40 = 0")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) GROUP BY o_orderkey),
+r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
+def catalog_distractors_all(spark, d):
+    """catalog_distractors over all orders."""
+    return _distractors(spark, d, "l_linenumber = 1")
+
+
 @query("SELECT conv_id, turn, sha256(prefix) AS state, turns FROM (SELECT conv_id, turn, role, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turns FROM conversations) WHERE role = 'user' AND turns <= 12")
 def conversation_prefix_states(spark, d):
     return X.prefix_states(table(spark, d, "conversations"), 12).select("conv_id", "turn", F.sha2("state", 256).alias("state"), "turns")

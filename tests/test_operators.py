@@ -87,3 +87,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "manifest")).first()["table"]["n"] == 20
     done = spark.createDataFrame([(1, 200), (2, 500)], "id long, status int")
     assert readers.pending(df, done, "id", F.col("status") == 200).count() == 19
+
+
+def test_distractors_of_a_large_catalog(spark):
+    rows = spark.createDataFrame([(i, f"c{i % 7}") for i in range(20)] + [(3, "c3"), (4, None)], "id long, gold string")
+    catalog = spark.createDataFrame([(f"c{i % 50}",) for i in range(90)] + [(None,)], "c string")
+    got, want = (sorted(map(tuple, examples.distractors(rows, catalog, "c", "gold", "id", 5, 1, most=m).collect())) for m in (8, 100))
+    assert got == want and len(got) == 5 * 21
