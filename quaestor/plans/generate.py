@@ -38,6 +38,13 @@ def gen_deadlines(spark, d):
     return G.deadlines(table(spark, d, "orders").where("o_orderkey % 10 = 0"), "o_orderkey", "o_orderdate", [0, 1, 10, 29])
 
 
+@query("""SELECT o_orderkey, n, CASE WHEN late > 0 THEN 'late' WHEN late = 0 THEN 'due' ELSE 'early' END AS label, strftime(due, '%d.%m.%Y') AS shown FROM (
+SELECT o_orderkey, n, date_diff('day', due, CAST(o_orderdate AS DATE) + CAST(n AS INTEGER)) AS late, due FROM (SELECT o_orderkey, o_orderdate, last_day(CAST(o_orderdate AS DATE)) AS due FROM orders), (VALUES (0), (1), (10), (29)) AS g(n))""")
+def gen_deadlines_all(spark, d):
+    """gen_deadlines over all orders."""
+    return G.deadlines(table(spark, d, "orders"), "o_orderkey", "o_orderdate", [0, 1, 10, 29])
+
+
 @query("SELECT * FROM (VALUES (DATE '2024-02-27', 'early'), (DATE '2024-02-28', 'due'), (DATE '2024-02-29', 'late'), (DATE '2024-03-01', 'late')) AS t(received, label)")
 def deadline_leap_year(spark, d):
     days = spark.sql("SELECT explode(sequence(DATE '2024-02-27', DATE '2024-03-01')) AS received")

@@ -47,3 +47,8 @@ def test_scored_requests_reads_whole_texts(spark):
 
     want = {r["doc_id"]: length_scores([r["text"]], [4])[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     assert {r["doc_id"]: r["logits"] for r in plans.QUERIES["scored_requests"](spark, DATA).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "rows"), [("gen_deadlines_all", "SELECT 4 * count(*) FROM orders"), ("catalog_distractors_all", "SELECT 5 * count(DISTINCT l_orderkey) FROM lineitem WHERE l_linenumber = 1")])
+def test_reads_all_orders(spark, duck, name, rows):
+    assert plans.QUERIES[name](spark, DATA).count() == duck.sql(rows).fetchall()[0][0]
