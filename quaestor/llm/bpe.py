@@ -31,6 +31,8 @@ class PairIndex:
         vocab, self.suffix, self.special = tok.vocab, tok.suffix, tok.special
         self.tok, self.size = tok, max(vocab.values()) + 1
         self.first = {c: (vocab.get(c), vocab.get(c + tok.suffix)) for c in tokens.byte_letters()}
+        if any(x is None for pair in self.first.values() for x in pair):
+            raise ValueError("a vocabulary without a byte of its own for every byte")
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in tok.merges]
         self.rank = {a * self.size + b: r for r, (a, b, _) in enumerate(self.merges)}
         made = {new: r for r, (_, _, new) in enumerate(self.merges)}
@@ -110,12 +112,16 @@ def index_memo(path: str) -> tokens.Memo:
     return out
 
 
-def encode_decode(texts: list[str], tokenizer: str) -> list[tuple[bytes, str]]:
+def encode_decode(texts: list[str], tokenizer: str) -> list[tuple[memoryview, str]]:
+    """For each text its ids, as little-endian 32-bit bytes, and their decoding."""
     memo = tokens.memo("pairs", tokenizer, index_memo)
-    out = []
-    for values in memo.values_of(texts):
-        ids = b"".join(v[0] for v in values)
-        out.append((ids, " ".join(v[1] for v in values) if memo.decoder.plain else memo.decoder.decode(array("I", ids).tolist())))
+    values, words = memo.values_of(texts)
+    ids, ends = tokens.laid_out([v[0] for v in values], words)
+    said, of, out, a, x = [v[1] for v in values], words.of.to_numpy(), [], 0, 0
+    for b, y in zip(words.ends.tolist(), ends.tolist()):
+        part = ids[x:y]
+        out.append((memoryview(part), " ".join(map(said.__getitem__, of[a:b].tolist())) if memo.decoder.plain else memo.decoder.decode(part.tolist())))
+        a, x = b, y
     return out
 
 
@@ -125,8 +131,8 @@ def bpe_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in tokens.slices(texts, 4_000_000):
-                rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for x, d in encode_decode([t or "" for t in texts.slice(a, b - a).to_pylist()], tokenizer)]
+            for a, b in tokens.slices(texts):
+                rows = [(len(x), hashlib.sha256(x).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for x, d in encode_decode([t or "" for t in texts.slice(a, b - a).to_pylist()], tokenizer)]
                 n, x, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(x), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -140,7 +146,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.slices(texts):
-                got = [array("I", x).tolist() for x, _ in encode_decode([t or "" for t in texts.slice(a, b - a).to_pylist()], tokenizer)]
+                got = [x.tolist() for x, _ in encode_decode([t or "" for t in texts.slice(a, b - a).to_pylist()], tokenizer)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")

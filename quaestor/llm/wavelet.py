@@ -1,9 +1,10 @@
 """Token ids in wavelet matrix files.
 
 A shard's ids lie in one compressed file: for each bit of an id, from the highest, a plane of one bit a token in
-the order that the planes above leave (zeros before ones, each in their old order). Planes are cut into blocks,
-each compressed alone with the count of ones before it, so an access, a rank or a select opens one block of each
-plane. A table of the shard's documents and their lengths stands in front.
+the order that the planes above leave (zeros before ones, each in their old order). Planes are cut into blocks, each
+compressed alone. A directory beside them holds the ones before each block, and those inside it before each WORD bits;
+so an access, a rank or a select opens one block of each plane and counts the ones of WORD bits at most. A table of the
+shard's documents and their lengths stands in front.
 
 Shards are rows of a Parquet folder, one to a part file, written and read by Spark; so they lie in any store and a
 lost executor's shards are written again. Documents are dealt by ranges of their ids, in ascending order; a shard
@@ -29,28 +30,40 @@ from ..sources.session import Workspace
 from . import tokens
 
 SHARD = 1 << 20  # tokens
-BLOCK = 1 << 17  # bits
-MAGIC = b"QWM1"
+BLOCK, WORD = 1 << 16, 512  # bits
+MAGIC = b"QWM2"
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, file binary"
 READ = "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
+def _moved(seq: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """Those with a zero, then those with a one."""
+    return np.concatenate([seq[np.flatnonzero(~plane)], seq[np.flatnonzero(plane)]])
+
+
+def _kind(bits: int):
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def build(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    """A shard's file. Header: magic, documents, tokens, bits; then sized sections, compressed."""
+    """A shard's file. Header: magic, documents, tokens, bits; then sized sections, compressed but for directories."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n, bits = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     null = np.array([d is None for d in doc_ids], dtype=bool)
     sections = [pack(np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()), pack(np.packbits(null).tobytes()), pack(np.array(lengths, dtype="<u4").tobytes())]
-    kind = np.uint16 if bits <= 16 else np.uint32
+    kind, n_blocks = _kind(bits), -(-n // BLOCK)
     seq = ids.astype(kind)
     for b in reversed(range(bits)):
         plane = (seq & kind(1 << b)) != 0
-        seq = np.concatenate([seq[~plane], seq[plane]])
-        blocks = [plane[s : s + BLOCK] for s in range(0, n, BLOCK)]
-        ones = np.concatenate([[0], np.cumsum([x.sum() for x in blocks], dtype=np.int64)]).astype("<u8")
-        data = [pack(np.packbits(x, bitorder="little").tobytes()) for x in blocks]
-        sections.append(ones.tobytes() + np.array([len(d) for d in data], dtype="<u4").tobytes() + b"".join(data))
+        seq = _moved(seq, plane)
+        packed = np.zeros(n_blocks * BLOCK // 8, dtype=np.uint8)
+        packed[: -(-n // 8)] = np.packbits(plane, bitorder="little")
+        inside = np.bitwise_count(packed.view("<u8")).reshape(n_blocks, BLOCK // WORD, WORD // 64).sum(axis=2, dtype=np.int64)
+        ones = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype("<u8")
+        before = (np.cumsum(inside, axis=1) - inside).astype("<u2")
+        data = [pack(x.tobytes()) for x in packed.reshape(n_blocks, BLOCK // 8)]
+        sections.append(ones.tobytes() + before.tobytes() + np.array([len(d) for d in data], dtype="<u4").tobytes() + b"".join(data))
     return MAGIC + struct.pack("<QQI", len(doc_ids), n, bits) + b"".join(struct.pack("<Q", len(s)) + s for s in sections)
 
 
@@ -71,41 +84,55 @@ class Shard:
         null = np.unpackbits(np.frombuffer(plain[1], dtype=np.uint8))[:docs].astype(bool)
         self.doc_ids = [None if z else d for d, z in zip(np.frombuffer(plain[0], "<i8").tolist(), null.tolist())]
         self.lengths = np.frombuffer(plain[2], "<u4").astype(np.int64)
-        self.n_blocks = -(-self.n // BLOCK)
-        self.planes, head = [], 8 * (self.n_blocks + 1)
+        self.n_blocks = m = -(-self.n // BLOCK)
+        self.planes = []  # ones before blocks, ones before words, where blocks begin, the section
         for s in sections[3:]:
-            ones = np.frombuffer(s[:head], "<u8").astype(np.int64)
-            sizes = np.frombuffer(s[head : head + 4 * self.n_blocks], "<u4").astype(np.int64)
-            self.planes.append((ones, np.concatenate([[0], np.cumsum(sizes)]) + head + 4 * self.n_blocks, s))
+            ones = np.frombuffer(s, "<u8", m + 1).astype(np.int64)
+            before = np.frombuffer(s, "<u2", m * BLOCK // WORD, 8 * (m + 1)).reshape(m, BLOCK // WORD)
+            head = 8 * (m + 1) + 2 * before.size
+            sizes = np.frombuffer(s, "<u4", m, head).astype(np.int64)
+            self.planes.append((ones, before, np.concatenate([[0], np.cumsum(sizes)]) + head + 4 * m, s))
         self.zeros = [self.n - int(p[0][-1]) for p in self.planes]
         self.cache: OrderedDict = OrderedDict()
         self.cached = cached
 
     def _block(self, level: int, k: int) -> np.ndarray:
+        """A block's bits in words of 64."""
         if (level, k) not in self.cache:
-            _, at, s = self.planes[level]
-            bits = np.unpackbits(np.frombuffer(self.unpack(s[at[k] : at[k + 1]]), dtype=np.uint8), bitorder="little")
-            self.cache[level, k] = bits[: min(BLOCK, self.n - k * BLOCK)]
+            _, _, at, s = self.planes[level]
+            self.cache[level, k] = np.frombuffer(self.unpack(s[at[k] : at[k + 1]]), dtype="<u8")
             if len(self.cache) > self.cached:
                 self.cache.popitem(last=False)
         return self.cache[level, k]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
-        k = i // BLOCK
-        return int(self.planes[level][0][k]) + (int(self._block(level, k)[: i - k * BLOCK].sum()) if i - k * BLOCK else 0)
+        k, at = divmod(i, BLOCK)
+        ones, before, _, _ = self.planes[level]
+        if not at:
+            return int(ones[k])
+        words, w = self._block(level, k), at // WORD
+        last, over = divmod(at, 64)
+        out = int(ones[k]) + int(before[k, w]) + int(np.bitwise_count(words[w * WORD // 64 : last]).sum())
+        return out + ((int(words[last]) & (1 << over) - 1).bit_count() if over else 0)
 
     def _find(self, level: int, bit: int, j: int) -> int:
         """Where the j-th (from 0) such bit of a plane stands."""
-        ones = self.planes[level][0]
-        before = ones if bit else np.minimum(np.arange(self.n_blocks + 1) * BLOCK, self.n) - ones
-        k = int(np.searchsorted(before, j, side="right")) - 1
-        return k * BLOCK + int(np.flatnonzero(self._block(level, k) == bit)[j - int(before[k])])
+        ones, before, _, _ = self.planes[level]
+        upto = ones if bit else np.minimum(np.arange(self.n_blocks + 1) * BLOCK, self.n) - ones
+        k = int(np.searchsorted(upto, j, side="right")) - 1
+        j -= int(upto[k])
+        inside = before[k] if bit else np.arange(BLOCK // WORD) * WORD - before[k].astype(np.int64)
+        w = int(np.searchsorted(inside, j, side="right")) - 1
+        part = self._block(level, k)[w * WORD // 64 : (w + 1) * WORD // 64]
+        bits = np.unpackbits(part.view(np.uint8), bitorder="little")
+        return k * BLOCK + w * WORD + int(np.flatnonzero(bits == bit)[j - int(inside[w])])
 
     def access(self, i: int) -> int:
         out = 0
         for level in range(self.bits):
-            bit = int(self._block(level, i // BLOCK)[i % BLOCK])
+            k, at = divmod(i, BLOCK)
+            bit = int(self._block(level, k)[at // 64]) >> at % 64 & 1
             ones = self._ones(level, i)
             out, i = out << 1 | bit, self.zeros[level] + ones if bit else i - ones
         return out
@@ -138,20 +165,30 @@ class Shard:
             i = self._find(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def _plane(self, level: int) -> np.ndarray:
+        _, _, at, s = self.planes[level]
+        packed = b"".join(self.unpack(s[at[k] : at[k + 1]]) for k in range(self.n_blocks))
+        return np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=self.n, bitorder="little").astype(bool)
+
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, j) for j in range(self.count(token))]
+        """All of a token's places: one by one if they are few, else each plane is opened once for all of them."""
+        a, b = self._range(token, 0, self.n)
+        if b - a <= 16:
+            return [self.select(token, j) for j in range(b - a)]
+        at = np.arange(a, b)
+        for level in reversed(range(self.bits)):
+            plane = self._plane(level)
+            at = np.flatnonzero(plane)[at - self.zeros[level]] if token >> (self.bits - 1 - level) & 1 else np.flatnonzero(~plane)[at]
+        return at.tolist()
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the lowest plane up, each plane's partition is undone."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
+        kind = _kind(self.bits)
         values = np.zeros(self.n, dtype=kind)
         for level in reversed(range(self.bits)):
-            _, at, s = self.planes[level]
-            packed = b"".join(self.unpack(s[at[k] : at[k + 1]]) for k in range(self.n_blocks))
-            bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little")[: self.n].astype(bool)
-            out, z = np.empty_like(values), self.zeros[level]
-            out[~bits] = values[:z]
-            out[bits] = values[z:] | kind(1 << (self.bits - 1 - level))
+            bits, out, z = self._plane(level), np.empty_like(values), self.zeros[level]
+            out[np.flatnonzero(~bits)] = values[:z]
+            out[np.flatnonzero(bits)] = values[z:] | kind(1 << (self.bits - 1 - level))
             values = out
         return values
 
