@@ -2,9 +2,12 @@
 
 Documents become token ids (with an end id each). What fills whole windows is cut off; the remaining lengths are
 kept as a multiset. A window takes the longest remaining length and then the multiset that fills it closest to its
-capacity, found by a subset-sum over a bitset and traced back to counts. The scan's own partitions pack their own
-documents, so nothing is shuffled; a partition holds one pool of documents at a time, and what its last windows
-can't fill is laid end to end and cut at powers of two, so that no window is padded there.
+capacity, found by a subset-sum over a bitset and traced back to counts. Where that leaves a slack, the first part of
+another remaining document closes it, and the rest of that document waits on. The scan's own partitions pack their own
+documents, so nothing is shuffled; a partition holds one pool of documents at a time, and once half of a full pool is
+packed, windows with a slack wait for the next one. Only the last window of a partition can stay short: it is cut at
+powers of two, so that no window is padded there. `kind` says how a piece came about: whole (a window of one document),
+fit (by bin slack), cut (closes a slack), tail (of a partition's last, short window).
 
 Null and empty texts hold the end id alone. Rows repeat freely: each row is a document of its own. Columns besides
 the id and the text are not read. A table without rows gives no pieces.
@@ -21,10 +24,9 @@ from pyspark.sql import DataFrame
 from . import tokens
 
 CAPACITY = 2048
-#: Remaining documents of a pool; and of how many tokens at most. A full pool is packed but for its poorest windows.
-POOL = 4000
+POOL = 4000  # remaining documents of a pool
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kind string"
 
 
 def fill(lengths: dict[int, int], capacity: int) -> dict[int, int]:
@@ -52,24 +54,20 @@ def fill(lengths: dict[int, int], capacity: int) -> dict[int, int]:
     return dict(counts)
 
 
-def windows(lengths: dict[int, int], capacity: int, last: bool):
-    """Windows as lists of lengths, until the pool is used up; unless last, until one can't be filled to the brim."""
-    while lengths:
-        longest = max(lengths)
-        lengths[longest] -= 1
-        if not lengths[longest]:
-            del lengths[longest]
-        counts = fill(lengths, capacity - longest)
-        if longest + sum(n * c for n, c in counts.items()) < capacity:
-            lengths[longest] = lengths.get(longest, 0) + 1
-            if last:
-                yield None
-            return
-        for n, c in counts.items():
-            lengths[n] -= c
-            if not lengths[n]:
-                del lengths[n]
-        yield [longest, *(n for n, c in counts.items() for _ in range(c))]
+def window(lengths: dict[int, int], capacity: int) -> list[int]:
+    """The next window's lengths, taken out of the pool: the longest, and those that leave the least slack beside it."""
+
+    def take(n: int, count: int) -> None:
+        lengths[n] -= count
+        if not lengths[n]:
+            del lengths[n]
+
+    longest = max(lengths)
+    take(longest, 1)
+    counts = fill(lengths, capacity - longest)
+    for n, c in counts.items():
+        take(n, c)
+    return [longest, *(n for n, c in counts.items() for _ in range(c))]
 
 
 def powers(n: int, capacity: int) -> list[int]:
@@ -86,56 +84,69 @@ class Packer:
         self.n_waiting = 0
         self.out: list[tuple] = []
 
-    def _piece(self, doc, start: int, ids: memoryview, sequence: int, offset: int, doc_tokens: int) -> None:
-        self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence, offset))
+    def _piece(self, doc, start: int, ids: memoryview, sequence: int, offset: int, doc_tokens: int, kind: str) -> None:
+        self.out.append((doc, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, sequence, offset, kind))
 
     def _sequence(self) -> int:
         self.next += 1
         return self.next - 1
 
+    def _wait(self, doc, start: int, ids, total: int) -> None:
+        self.waiting[len(ids) // 4].append((doc, start, ids, total))
+        self.n_waiting += 1
+
+    def _taken(self, n: int) -> tuple:
+        out = self.waiting[n].pop()
+        if not self.waiting[n]:
+            del self.waiting[n]
+        self.n_waiting -= 1
+        return out
+
     def add(self, doc, ids: bytes) -> None:
         total, step, view = len(ids) // 4, self.capacity * 4, memoryview(ids)
         whole = total // self.capacity
         for i in range(whole):
-            self._piece(doc, i * self.capacity, view[i * step : (i + 1) * step], self._sequence(), 0, total)
+            self._piece(doc, i * self.capacity, view[i * step : (i + 1) * step], self._sequence(), 0, total, "whole")
         if total % self.capacity:
-            rest = (doc, whole * self.capacity, bytes(view[whole * step :]), total)
-            self.waiting[total % self.capacity].append(rest)
-            self.n_waiting += 1
+            self._wait(doc, whole * self.capacity, bytes(view[whole * step :]), total)
             if self.n_waiting >= self.pool:
                 self.settle(last=False)
-                if self.n_waiting >= self.pool:
-                    self.flush()
 
     def settle(self, last: bool) -> None:
-        lengths = {n: len(x) for n, x in self.waiting.items()}
-        for window in windows(lengths, self.capacity, last):
-            if window is None:
-                return self.flush()
-            sequence, offset = self._sequence(), 0
-            for n in window:
-                doc, start, ids, total = self.waiting[n].pop()
-                if not self.waiting[n]:
-                    del self.waiting[n]
-                self.n_waiting -= 1
-                self._piece(doc, start, memoryview(ids), sequence, offset, total)
-                offset += n
-
-    def flush(self) -> None:
-        """Lay what waits end to end and cut it where windows end."""
-        rest = [x for n in sorted(self.waiting, reverse=True) for x in self.waiting[n]]
-        sizes = iter(powers(sum(len(x[2]) // 4 for x in rest), self.capacity))
+        """Packs all that waits; unless last, until half of a pool is left and the next window would have a slack."""
+        while self.waiting:
+            lengths = {n: len(x) for n, x in self.waiting.items()}
+            while lengths:
+                chosen = window(lengths, self.capacity)
+                slack = self.capacity - sum(chosen)
+                if slack and not last and 2 * self.n_waiting <= self.pool:
+                    return
+                if slack and not lengths:
+                    return self._tail(chosen) if last else None
+                sequence, offset = self._sequence(), 0
+                for n in chosen:
+                    doc, start, ids, total = self._taken(n)
+                    self._piece(doc, start, memoryview(ids), sequence, offset, total, "fit")
+                    offset += n
+                if slack:  # every length left is longer, or it would have gone in
+                    doc, start, ids, total = self._taken(min(lengths))
+                    self._piece(doc, start, memoryview(ids)[: 4 * slack], sequence, offset, total, "cut")
+                    self._wait(doc, start + slack, bytes(ids[4 * slack :]), total)
+                    break
+
+    def _tail(self, chosen: list[int]) -> None:
+        """The last window, end to end in windows of falling powers of two."""
+        sizes = iter(powers(sum(chosen), self.capacity))
         room = offset = sequence = 0
-        for doc, start, ids, total in rest:
-            at, n = 0, len(ids) // 4
+        for n in chosen:
+            doc, start, ids, total = self._taken(n)
+            at = 0
             while at < n:
                 if not room:
                     room, offset, sequence = next(sizes), 0, self._sequence()
                 take = min(room, n - at)
-                self._piece(doc, start + at, memoryview(ids)[at * 4 : (at + take) * 4], sequence, offset, total)
+                self._piece(doc, start + at, memoryview(ids)[at * 4 : (at + take) * 4], sequence, offset, total, "tail")
                 at, room, offset = at + take, room - take, offset + take
-        self.waiting.clear()
-        self.n_waiting = 0
 
     def pieces(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -143,8 +154,8 @@ class Packer:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(names))], names=names)
+    names, kinds = zip(*(c.split() for c in SCHEMA.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
