@@ -2,23 +2,30 @@
 
 Inside a word, the last token of each prefix's encoding is found from those of shorter prefixes: token t may end
 the prefix of length i if the prefix of length i - len(t) ends in a token that stands unmerged before t. There is
-always exactly one such t, and the count is one more than at i - len(t). Whole words add up. So one pass answers
-how many tokens any prefix has, and where a budget ends, without encoding again.
+always exactly one such t, and the count is one more than at i - len(t). The tokens that may end there come from an
+automaton over the vocabulary, so a word costs time in proportion to its length. Whole words add up, and a cut inside
+a text changes nothing before the word that it falls into but for white space, which becomes one run at the end. So the
+counts of all prefixes answer how many tokens any of them has, and where a budget ends, without encoding again.
 
-Null and empty texts have no tokens. Long words cost time in proportion to their length. Repeated rows are counted
-each; columns besides the id and the text are not read; a table without rows gives none.
+Null and empty texts have no tokens. Repeated rows are counted each; columns besides the id and the text are not read;
+a table without rows gives none.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
 
-PAIRS = 2_000_000  # entries of the memo of neighbouring tokens
+PAIRS = 150_000  # entries of the memo of neighbouring tokens
+#: White space of the pre-tokeniser beyond the plain one.
+WIDE = "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = tokens.SPACES + WIDE
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long"
 
@@ -27,10 +34,13 @@ class Prefixes:
     """Counts for the prefixes of words of a byte-level tokenizer."""
 
     def __init__(self, tok: tokens.Tokenizer):
-        if tok.suffix:
-            raise ValueError("prefix counts need a tokenizer without word ends")
-        self.tok, self.vocab, self.longest = tok, tok.vocab, max(map(len, tok.vocab))
-        self.stand: dict[tuple[str, str], bool] = {}
+        if not tok.by_bytes:
+            raise ValueError("prefix counts need the byte-level pre-tokeniser")
+        self.tok, self.stand = tok, {}
+        self.ending = ahocorasick.Automaton()
+        for t in tok.vocab:
+            self.ending.add_word(t, t)
+        self.ending.make_automaton()
 
     def stands(self, a: str, b: str) -> bool:
         """Whether token b after token a stays as it is (a empty: b alone)."""
@@ -45,47 +55,71 @@ class Prefixes:
         """Tokens of each prefix of a word, by its bytes, from the empty one on."""
         if word in self.tok.special:
             return [0] + [1] * len(word.encode())
-        letters, vocab, stand = tokens.lettered(word), self.vocab, self.stand
-        count, last = [0], [""]
-        for i in range(1, len(letters) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = letters[j:i]
-                if t in vocab and ((ok := stand.get((last[j], t))) or ok is None and self.stands(last[j], t)):
-                    count.append(count[j] + 1)
-                    last.append(t)
-                    break
+        letters, known = tokens.lettered(word), self.stand.get
+        count, last = [0] * (len(letters) + 1), [""] * (len(letters) + 1)
+        for end, t in self.ending.iter(letters):
+            i = end + 1
+            if last[i]:
+                continue
+            j = i - len(t)
+            if (ok := known((last[j], t))) or ok is None and self.stands(last[j], t):
+                count[i], last[i] = count[j] + 1, t
         return count
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of each prefix of a text's words, at their ends."""
-        return list(accumulate((self.counts(w)[-1] for w in self.tok.words(text)), initial=0))
+    def _by_chars(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word, by its characters, from the empty one on."""
+        by_bytes = self.counts(word)
+        return by_bytes if word.isascii() else [by_bytes[b] for b in accumulate((len(c.encode()) for c in word), initial=0)]
 
     def count(self, text: str) -> int:
         return sum(self.counts(w)[-1] for w in self.tok.words(text))
 
-    def truncate(self, text: str, budget: int, ends: list[int] | None = None, words: list[str] | None = None) -> int:
-        """How many characters the longest prefix has that ends inside the first word to pass the budget, or at the text's end.
+    def cuts(self, words: list[str], ends: list[int], k: int) -> list[int]:
+        """Tokens of the text up to the first, second, ... last character of word k, as a text that ends there.
+
+        `ends`: tokens before each word. A special string that is cut is plain text, and joins the words before it.
+        """
+        w = words[k]
+        if w in self.tok.special:
+            lo = max(0, k - 3)
+            lead = "".join(words[lo:k])
+            return [ends[lo] + self.count(lead + w[:c]) for c in range(1, len(w))] + [ends[k] + 1]
+        if w in tokens.SAID:
+            return [ends[k] + self.count(w[:c]) for c in range(1, len(w) + 1)]
+        lead = len(w) - len(w.lstrip(SPACES))
+        before = words[k - 1] if k and lead and not words[k - 1].strip(SPACES) else ""
+        run = self._by_chars(before + w[:lead])[len(before) + 1 :]
+        base = ends[k - 1] if before else ends[k]
+        return [base + n for n in run] + [ends[k] + n for n in self._by_chars(w)[lead + 1 :]]
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text, by its characters, from the empty one on."""
+        words = self.tok.words(text)
+        ends = list(accumulate((self.counts(w)[-1] for w in words), initial=0))
+        return [0] + [n for k in range(len(words)) for n in self.cuts(words, ends, k)]
+
+    def truncate(self, words: list[str], ends: list[int], budget: int) -> int:
+        """How many characters the longest prefix of a text has that keeps to a budget, from its words and the tokens
+        before each of them, and in all.
 
-        The part of that word is counted as a text that ends there, as a cut may change how the word splits.
+        It ends in the first word to pass the budget, or in one after it that white space or a special string joins.
         """
-        words = self.tok.words(text) if words is None else words
-        ends = self.prefix_counts(text) if ends is None else ends
         if ends[-1] <= budget:
-            return len(text)
+            return sum(map(len, words))
         k = next(i for i, n in enumerate(ends) if n > budget) - 1
-        whole = sum(map(len, words[:k]))
-        if words[k] in self.tok.special:
-            return whole
-        lo = k and k - 1  # a space before the word may belong to the one before
-        base, tail = sum(map(len, words[:lo])), "".join(words[lo : k + 1])
-        fits = [c for c in range(whole - base, len(tail)) if ends[lo] + self.count(tail[:c]) <= budget]
-        return base + max(fits, default=whole - base)
+        at = list(accumulate(map(len, words[: k + 4]), initial=0))
+        for j in reversed(range(len(at) - 1)):
+            if j <= k or words[j] in self.tok.special or words[j][0] in SPACES:
+                for c, n in reversed([*enumerate(self.cuts(words, ends, j), 1)]):
+                    if n <= budget:
+                        return at[j] + c
+        return 0
 
 
 def prefix_memo(path: str) -> tokens.Memo:
-    """Words to the counts of their prefixes."""
+    """Words to the tokens of the whole word."""
     table = Prefixes(tokens.load(path))
-    out = tokens.Memo(table.tok, lambda words: [bytes(c) if (c := table.counts(w))[-1] < 256 else c for w in words])
+    out = tokens.Memo(table.tok, lambda words: [table.counts(w)[-1] for w in words])
     out.table = table
     return out
 
@@ -99,14 +133,19 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
             ids, texts = batch.column(0), batch.column(1)
             for a, b in tokens.slices(texts):
                 part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-                rows = []
-                for text, prefixes in zip(part, memo.values_of(part)):
-                    n = sum(p[-1] for p in prefixes)
-                    fits = len(text)
+                values, words = memo.values_of(part)
+                of = words.of.to_numpy()
+                upto = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[of])])
+                first, rows = 0, []
+                for text, last in zip(part, words.ends.tolist()):
+                    n, fits = int(upto[last] - upto[first]), len(text)
                     if n > limit:
-                        ends = list(accumulate((p[-1] for p in prefixes), initial=0))
-                        fits = memo.table.truncate(text, limit, ends, memo.tok.words(text))
+                        # words beyond the budget are needed only as far as truncate looks
+                        stop = min(last, int(np.searchsorted(upto, upto[first] + limit, side="right")) + 4)
+                        head = [words.distinct[i] for i in of[first:stop].tolist()]
+                        fits = memo.table.truncate(head, (upto[first : stop + 1] - upto[first]).tolist(), limit)
                     rows.append((len(text.encode()), n, n > limit, fits))
+                    first = last
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, pa.bool_() if k == 2 else pa.int64()) for k, c in enumerate(cols))], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
