@@ -2,10 +2,11 @@
 
 Each measure of a document is a whole number of ten-thousandths. For each language and source a sketch counts
 documents by the measure's leading BITS binary digits (relative error under 2 to the power 1 - BITS); sketches are
-plain counts, so they merge by adding, up to a language's and to the whole table's. A measure's threshold is its
-upper quartile plus SPREADS times the distance of the quartiles (at least the measure's least spread), from the
-sketch of the language and source if that has LEAST documents, else the language's, else the whole table's.
-Documents above a threshold are rejected; the thresholds are joined to them. All of it is built-in functions.
+plain counts, so they merge by adding, up to a language's and to the whole table's. A sketch's threshold is its
+upper quartile plus SPREADS times the distance of the quartiles (at least the measure's least spread). A language's is
+drawn towards the whole table's as by PRIOR documents of that, and one of a language and source likewise towards its
+language's, so each group's own sketch counts for more, the more documents it has. Documents above a threshold are
+rejected; the thresholds are joined to them. All of it is built-in functions.
 
 Null texts have no words. A null language or source is a value of its own. Repeated rows are measured each; columns
 besides those named are not read and are kept by filter_documents; a table without rows gives none.
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..sources.session import Workspace
 
-BITS, SPREADS, LEAST, MIN_WORDS = 7, 3, 200, 50
+BITS, SPREADS, PRIOR, MIN_WORDS = 7, 3, 200, 50
 #: Least spreads, in ten-thousandths: symbols a word, characters a word, repeated lines a line with a word.
 MEASURES = {"symbols": 300, "length": 2000, "lines": 1500}
 #: Thresholds of that many groups at most are broadcast; more are joined with salt.
@@ -77,7 +78,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     cut = lambda df, name: df.select(*(c for c in df.columns if c not in ("total", "q1", "q3")), F.col("total").alias(f"n_{name}"), (F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), floor[F.col("m")])).cast("long").alias(name))
     own, lang, every = (cut(df, name) for df, name in zip(levels, ("own", "by_lang", "by_all")))
     joined = own.join(lang.withColumnRenamed("_lang", "_l").withColumnRenamed("m", "_m"), F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("m") == F.col("_m"))).join(F.broadcast(every), "m")  # a row for each measure
-    chosen = F.when(F.col("n_own") >= LEAST, F.col("own")).when(F.col("n_by_lang") >= LEAST, F.col("by_lang")).otherwise(F.col("by_all"))
+    drawn = lambda n, x, to: f"(n_{n} * {x} + {PRIOR} * {to}) div (n_{n} + {PRIOR})"
+    chosen = F.expr(drawn("own", "own", f"({drawn('by_lang', 'by_lang', 'by_all')})"))
     return joined.groupBy("_lang", "_source").agg(*(F.max(F.when(F.col("m") == m, chosen)).alias(f"_{m}") for m in MEASURES))
 
 
@@ -99,17 +101,22 @@ def judged(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source
     if fixed is None:
         found = thresholds(measure(named.select("_text", "_lang", "_source"), repeats=False))
         fixed = Workspace(df.sparkSession).write(found, "thresholds")
+    return verdicts(measure(named).drop("_text"), fixed)
+
+
+def verdicts(measured: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Measured rows with _lang and _source, which go, with base_failed and kept."""
     limits = fixed.withColumnsRenamed({"_lang": "_of_lang", "_source": "_of_source"})
-    rows = measure(named).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    rows = measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     same = F.col("_lang").eqNullSafe(F.col("_of_lang")) & F.col("_source").eqNullSafe(F.col("_of_source"))
     if len(limits.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(limits), same, "left")
     else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_text", "n_words"), F.lit(SALTS)))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)))
         joined = rows.join(limits.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_of_salt")), "left").drop("_salt", "_of_salt")
     high = [F.coalesce(v > F.col(f"_{m}"), F.lit(False)) for m, v in _values().items()]
     verdict = ~F.col("base_failed") & ~(high[0] | high[1] | high[2])
-    return joined.withColumn("kept", verdict).drop("_text", "_lang", "_source", "_of_lang", "_of_source", *(f"_{m}" for m in MEASURES))
+    return joined.withColumn("kept", verdict).drop("_lang", "_source", "_of_lang", "_of_source", *(f"_{m}" for m in MEASURES))
 
 
 def filter_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -120,7 +127,13 @@ def filter_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def quality_rules(df: DataFrame) -> DataFrame:
-    return judged(df.select("doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """The measures of each document and its verdict. Texts are read once: measures are written, and both the sketches
+    and the verdicts come from them."""
+    named = df.select("doc_id", F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    work = Workspace(df.sparkSession)
+    rows = work.write(measure(named).drop("_text"), "measures")
+    out = verdicts(rows, work.write(thresholds(rows), "thresholds"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 ORACLE = r"""
@@ -161,9 +174,9 @@ q AS (
   SELECT level, lang, source, m, any_value(total) AS total, any_value(spread) AS spread,
          min(x) FILTER (WHERE upto * 100 >= total * 25) AS q1, min(x) FILTER (WHERE upto * 100 >= total * 75) AS q3
   FROM s GROUP BY level, lang, source, m),
-h AS (SELECT level, lang, source, m, total, q3 + 3 * greatest(q3 - q1, spread) AS top FROM q),
+h AS (SELECT level, lang, source, m, CAST(total AS BIGINT) AS total, q3 + 3 * greatest(q3 - q1, spread) AS top FROM q),
 lim AS (
-  SELECT a.lang, a.source, a.m, CASE WHEN a.total >= 200 THEN a.top WHEN b.total >= 200 THEN b.top ELSE z.top END AS top
+  SELECT a.lang, a.source, a.m, (a.total * a.top + 200 * ((b.total * b.top + 200 * z.top) // (b.total + 200))) // (a.total + 200) AS top
   FROM h a JOIN h b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.m = b.m JOIN h z ON z.level = 0 AND a.m = z.m
   WHERE a.level = 2),
 p AS (
