@@ -8,7 +8,7 @@ before their texts are read.
 
 A null text counts as empty, and both are scored. Null ids and null labels take no part in fitting; a row with
 several labels has their least. Where one class is missing, every score is that class's share. Repeated rows are
-scored each; columns besides the id and the text are kept by keep(); a table without rows gives none.
+scored each (of a labelled id that repeats, one row is fitted on); columns besides the id and the text are kept by keep(); a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -112,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(got), pa.list_(pa.float64()))], names=["doc_id", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(chosen & (fold > 0))
-    rows = texts.mapInArrow(stats, "doc_id long, s array<double>").join(marks.where(chosen), "doc_id").select("s", "y", (fold == 1).alias("calibrates")).repartition(PARTS).cache()
+    # an id that repeats has the least of its statistics, so that no more rows meet than labels were chosen
+    each = texts.mapInArrow(stats, "doc_id long, s array<double>").groupBy("doc_id").agg(F.min("s").alias("s"))
+    rows = each.join(marks.where(chosen), "doc_id").select("s", "y", (fold == 1).alias("calibrates")).repartition(PARTS).cache()
 
     def arrays(batch):
         s = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, N_STATS)
