@@ -5,23 +5,29 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import held
+
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORDS = 300_000  # entries of the memo of words
+WORDS, LONG = 200_000, 256  # entries of the memo of words, and bytes of the longest that is kept
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = h
         return h
 
 
 _hashes = _Hashes()
+held.holder("shingles", _hashes.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -53,28 +59,87 @@ def digest(values: np.ndarray, seed: int) -> tuple[bytes, int]:
     return full, int.from_bytes(hashlib.blake2b(full, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
-def mixed(a: int, b: int) -> int:
-    return xxhash.xxh3_64_intdigest(a.to_bytes(8, "little", signed=True) + (b or 0).to_bytes(8, "little", signed=True)) & (1 << 63) - 1
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, from 128 up, of a quarter to half of n."""
+    return max(128, 1 << max(0, (n - 1).bit_length() - 2))
+
+
+def bitmap(values: np.ndarray) -> bytes:
+    """For each bit the parity of how many members of the set fall on it.
+
+    Sets that differ in d members have bitmaps that differ in d bits at most. A bitmap of half the width is that of the
+    two halves combined by exclusive or.
+    """
+    w = width(len(values))
+    odd = np.bincount(((values * np.uint64(MIX[1])) >> np.uint64(64 - w.bit_length() + 1)).astype(np.int64), minlength=w) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def narrowed(bits: bytes, w: int) -> bytes:
+    """The bitmap of that width, from one at least as wide."""
+    while 8 * len(bits) > w:
+        x = np.frombuffer(bits, dtype=np.uint8)
+        # hashes take their highest bits, so neighbours fall together
+        y = np.unpackbits(x).reshape(-1, 2)
+        bits = np.packbits(y[:, 0] ^ y[:, 1]).tobytes()
+    return bits
+
+
+class Bitmaps:
+    """Bitmaps of several sets, told apart from one of them at a time."""
+
+    def __init__(self, bits: list[bytes]):
+        self.bits, self.rows = bits, {}
+        self.widths = np.array([8 * len(b) for b in bits])
+
+    def _matrix(self, w: int) -> np.ndarray:
+        """A row for each set, empty where the set's own bitmap is narrower."""
+        if w not in self.rows:
+            out = np.zeros((len(self.bits), w // 64), dtype=np.uint64)
+            for i in np.flatnonzero(self.widths >= w).tolist():
+                out[i] = np.frombuffer(narrowed(self.bits[i], w), dtype=np.uint64)
+            self.rows[w] = out
+        return self.rows[w]
+
+    def differ(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """In how many members set x differs from each of the others, at least."""
+        shared = np.minimum(self.widths[ys], self.widths[x])
+        out = np.zeros(len(ys), dtype=np.int64)
+        for w in np.unique(shared).tolist():
+            at = np.flatnonzero(shared == w)
+            m = self._matrix(w)
+            out[at] = np.bitwise_count(m[ys[at]] ^ m[x]).sum(axis=1)
+        return out
+
+
+def most_apart(n, m, percent: int):
+    """In how many members two sets of n and m may differ, if they are similar enough."""
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
 
 
 class Sieve:
-    """A Bloom filter of fixed size, made by counting which of its bits are set; at most `bits` / 8 bytes."""
+    """A Bloom filter of about SHARE bits a key; at most MOST / 8 bytes, beyond which it lets more through."""
+
+    SHARE, LEAST, MOST = 16, 1 << 16, 1 << 27
 
-    def __init__(self, keys: DataFrame, col: str, bits: int = 1 << 23):
+    def __init__(self, keys: DataFrame, col: str):
         """keys[col]: non-negative hashes."""
-        self.bits = bits
-        bit = F.explode(F.array(*(F.pmod(F.shiftright(F.col(col), 20 * k), F.lit(bits)) + 1 for k in range(2)))).alias("b")
+        self.bits = min(self.MOST, max(self.LEAST, 1 << (self.SHARE * keys.count()).bit_length()))
+        bit = F.explode(F.array(*(F.pmod(F.shiftright(F.col(col), 31 * k), F.lit(self.bits)) + 1 for k in range(2)))).alias("b")
         rows = keys.select(bit).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
         # buckets hold 32,768 bits each; from bit 1 on they are numbered from 1
-        self.map = np.zeros((bits // 32768 + 2, 4096), dtype=np.uint8)
+        self.map = np.zeros((self.bits // 32768 + 2) * 4096, dtype=np.uint8)
         for r in rows:
-            self.map[r["n"]] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-
-    def has(self, key: int) -> bool:
-        return all(self._bit((key >> 20 * k) % self.bits) for k in range(2))
-
-    def _bit(self, b: int) -> bool:
-        return bool(self.map[1 + b // 32768, b % 32768 // 8] >> (b % 8) & 1)
+            self.map[4096 * r["n"] : 4096 * (r["n"] + 1)] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+
+    def has(self, keys) -> np.ndarray:
+        """For each key (an Arrow or pandas column, or an array) whether it may be one of the sieve's."""
+        keys = np.asarray(keys.to_numpy(zero_copy_only=False) if isinstance(keys, pa.Array) else keys).astype(np.int64)
+        out = np.ones(len(keys), dtype=bool)
+        for k in range(2):
+            b = (keys >> 31 * k) % self.bits
+            out &= self.map[4096 + b // 8] >> (b % 8) & 1 == 1
+        return out
 
 
 def rolled_rows(values: np.ndarray) -> np.ndarray:
