@@ -13,6 +13,9 @@ compared with that one. Of other runs, each paragraph of MIN_WORDS words is look
 compared with the least document that holds it. So any passage of MIN_WORDS words or more that two texts share is found
 whole, wherever it stands, and goes from every document but the least that holds it.
 
+A key that many rows of a batch have is dealt out in parts: a part's rows meet its own least row, and the least rows of
+parts meet each other after that.
+
 Words are runs without ASCII white space, A-Z in lower case. Null and empty texts have no paragraphs. Rows with equal
 id and text are one document. Columns besides the id and the text are kept by clean(); a table without rows gives
 none.
@@ -21,6 +24,8 @@ none.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -32,15 +37,18 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..sources.session import Workspace
+from . import held
 from . import shingles as S
+from .tokens import slices
 
 MIN_WORDS, SHINGLE, PERCENT = 50, 5, 80
 BANDS, ROWS = 6, 3
 ANCHOR, STRIDE = 24, 27  # STRIDE + ANCHOR - 1 is MIN_WORDS
 BLOCK = 1 << 20  # bytes of the sets that a block of lines holds
 LOOSE = -1  # the surroundings of runs that are not all listed
+HOT, PARTS = 16, 1021  # rows of a key in a batch, from which on the key is dealt out in parts; and how many
 
-KEYS = "key long, cls long, id long, th long, line int, pos int"
+KEYS = "key long, part int, cls long, id long, th long, line int, pos int"
 FIRST = "kind string, key long, cls long, id long, th long, line int, pos int, k_cls long, k_id long, k_th long, k_pos int"
 PAIRS = "id long, th long, line int, pos int, k_id long, k_th long, k_line int, k_pos int"
 LINKS = "kind string, id long, th long, line int, start int, stop int, words int, k_id long, k_th long, k_line int, k_start int, k_stop int, k_words int"
@@ -96,6 +104,8 @@ def passages(words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     runs, at = _least_runs(words)
     starts = np.flatnonzero(np.isin(runs[at], keys))
     whole = _hashed(words, starts, MIN_WORDS)
+    if len(np.unique(whole)) == len(whole):
+        return whole, at[starts]
     order = np.lexsort((starts, whole))
     keep: list[int] = []
     for i, x in enumerate(order):
@@ -112,6 +122,47 @@ def _rows(schema: str, cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(cols, types)], names=names)
 
 
+def _parts(keys: np.ndarray) -> np.ndarray:
+    """The part of each row of a batch: 0, but for those of a key beyond its first HOT ones."""
+    from pyspark import TaskContext
+
+    order = np.argsort(keys, kind="stable")
+    turn = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    at = np.arange(len(keys)) - np.repeat(turn, np.diff(np.append(turn, len(keys))))
+    out = np.zeros(len(keys), dtype=np.int32)
+    out[order] = np.where(at < HOT, 0, 1 + (at // HOT + 31 * TaskContext.get().partitionId()) % PARTS)
+    return out
+
+
+def _rows_of(texts: list[str]) -> Iterator[list[tuple]]:
+    """For each text (keys, classes, lines, positions) of its long lines and of its anchors."""
+    words = S.words_of(texts)
+    breaks = np.flatnonzero(words.raw == ord("\n"))
+    begins, stops = np.append(0, breaks + 1), np.append(breaks, len(words.raw))
+    upto = np.append(0, np.searchsorted(words.starts, stops))
+    long = np.flatnonzero(np.diff(upto) >= MIN_WORDS)
+    # bytes that begin a character, for places within texts
+    chars = np.append(0, np.cumsum((words.raw & 0xC0) != 0x80))
+    first_line, first_word, at = 0, 0, 0
+    ends = (np.cumsum([len(t) + 1 for t in texts]) - 1).tolist()
+    for text, last_word, end in zip(texts, words.ends.tolist(), ends):
+        out, start = [], end - len(text)
+        lines = text.count("\n") + 1
+        while at < len(long) and long[at] < first_line + lines:
+            k = int(long[at])
+            own = words.hashes[upto[k] : upto[k + 1]]
+            name = _hashed(own, np.zeros(1, np.int64), len(own))
+            cls, pos = np.full(BANDS + 1, name.view(np.int64)[0]), np.full(BANDS + 1, -1, np.int32)
+            cls[-1], pos[-1] = int(chars[begins[k]] - start) << 32 | int(chars[stops[k]] - start), -2 - len(own)
+            out.append((np.append(band_keys(own), name), cls, np.full(BANDS + 1, k - first_line, np.int32), pos))
+            at += 1
+        keys, where, cls = anchors(words.hashes[first_word:last_word])
+        if len(keys):
+            out.append((keys, cls, np.full(len(keys), -1, np.int32), where.astype(np.int32)))
+        yield out
+        first_line, first_word = first_line + lines, last_word
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     """docs: id, th, text. Anchors have line -1, their word, and the hash of their surroundings as their class.
 
@@ -121,56 +172,64 @@ def _keys(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for id_, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text, parts = text or "", []
-                for k, (s, e) in enumerate(_lines(text)):
-                    words = S.word_hashes(text[s:e])
-                    parts.append(words)
-                    if len(words) >= MIN_WORDS:
-                        name = _hashed(words, np.zeros(1, np.int64), len(words))
-                        keys, cls = np.append(band_keys(words), name), np.full(BANDS + 1, name.view(np.int64)[0])
-                        pos = np.full(BANDS + 1, -1, np.int32)
-                        cls[-1], pos[-1] = s << 32 | e, -2 - len(text[s:e].split())
-                        out.append((keys, cls, id_, th, np.full(BANDS + 1, k, np.int32), pos))
-                keys, at, cls = anchors(np.concatenate(parts))
-                if len(keys):
-                    out.append((keys, cls, id_, th, np.full(len(keys), -1, np.int32), at.astype(np.int32)))
-            if out:
-                sizes = [len(o[0]) for o in out]
-                whole = lambda k: np.concatenate([o[k] for o in out])
-                yield _rows(KEYS, [whole(0).view(np.int64), whole(1), np.repeat(np.array([o[2] for o in out], np.int64), sizes), np.repeat(np.array([o[3] for o in out], np.int64), sizes), whole(4), whole(5)])
+            ids, ths, texts = batch.columns
+            for a, b in slices(texts):
+                part = texts.slice(a, b - a).to_pylist()
+                out = [(*got, id_, th) for id_, th, found in zip(ids[a:b].to_pylist(), ths[a:b].to_pylist(), _rows_of(part)) for got in found]
+                if out:
+                    sizes = [len(o[0]) for o in out]
+                    whole = lambda k: np.concatenate([o[k] for o in out])
+                    keys = whole(0).view(np.int64)
+                    yield _rows(KEYS, [keys, _parts(keys), whole(1), np.repeat(np.array([o[4] for o in out], np.int64), sizes), np.repeat(np.array([o[5] for o in out], np.int64), sizes), whole(2), whole(3)])
 
-    return docs.mapInArrow(run, KEYS)
+    return docs.mapInArrow(held.task(run), KEYS)
 
 
 def _starred(keys: DataFrame) -> DataFrame:
-    """Rows beside the least one of their key. Kinds: line (as it is); band, where the classes differ; of anchors that
-    another document holds, same, where the classes are equal, and live, where they differ or don't tell."""
+    """Rows beside the least one of their key and part. Kinds: line (as it is); band, where the classes differ; of anchors
+    that another document holds, same, where the classes are equal, and live, where they differ or don't tell; and hub,
+    of keys in parts, the least rows and others of the same document, which are still to meet other parts' ones."""
 
     def run(batches):
-        first = None  # the least paragraph of the key that the last batch ended in
+        first, size = None, 0  # the least row of the part that the last batch ended in, and the rows of that part so far
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             n = batch.num_rows
             if not n:
                 continue
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
-            head = np.repeat(starts, np.diff(np.append(starts, n)))
-            least = [c[head] for c in cols]
-            if first is not None and first[0] == cols[0][0]:
-                stop = starts[1] if len(starts) > 1 else n
+            turn = np.ones(n, dtype=bool)
+            turn[1:] = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)
+            starts = np.flatnonzero(turn)
+            sizes = np.diff(np.append(starts, n))
+            head = np.repeat(starts, sizes)
+            least, own = [c[head] for c in cols], head == np.arange(n)
+            goes_on = first is not None and first[0] == cols[0][0] and first[1] == cols[1][0]
+            before = np.zeros(len(starts), dtype=np.int64)
+            if goes_on:
                 for c, v in zip(least, first):
-                    c[:stop] = v
-            first = [c[-1] for c in least]
-            cls, pos = cols[1], cols[5]
-            odd, other = cls != least[1], ((least[2] != cols[2]) | (least[3] != cols[3])) & (pos >= 0)
-            kinds = {"line": pos < -1, "band": (pos == -1) & odd, "same": other & ~odd & (cls != LOOSE), "live": other & (odd | (cls == LOOSE))}
+                    c[: sizes[0]] = v
+                own[0], before[0] = False, size
+            if goes_on and cols[1][0] == 0 and size < HOT <= size + sizes[0]:
+                yield _rows(FIRST, [["hub"], *([v] for v in (first[0], *first[2:])), *([first[k]] for k in (2, 3, 4, 6))])
+            large = np.repeat((cols[1][starts] > 0) | (before + sizes >= HOT), sizes)
+            held_back = large & (own | (least[3] == cols[3]) & (least[4] == cols[4]))
+            first, size = [c[-1] for c in least], int(before[-1] + sizes[-1])
+            cls, pos = cols[2], cols[6]
+            odd, other = cls != least[2], ((least[3] != cols[3]) | (least[4] != cols[4])) & (pos >= 0)
+            kinds = {"line": pos < -1, "band": (pos == -1) & odd, "same": other & ~odd & (cls != LOOSE), "live": other & (odd | (cls == LOOSE)), "hub": held_back & (pos >= -1)}
+            rest = [cols[0], *cols[2:]]
             for kind, chosen in kinds.items():
                 if chosen.any():
-                    yield _rows(FIRST, [pa.array([kind] * int(chosen.sum())), *(c[chosen] for c in cols), *(c[chosen] for c in least[1:4]), least[5][chosen]])
+                    yield _rows(FIRST, [pa.array([kind] * int(chosen.sum())), *(c[chosen] for c in rest), *(c[chosen] for c in least[2:5]), least[6][chosen]])
+
+    return keys.repartition("key", "part").sortWithinPartitions("key", "part", "id", "th", "line", "pos").mapInArrow(held.task(run), FIRST)
+
 
-    return keys.repartition("key").sortWithinPartitions("key", "id", "th", "line", "pos").mapInArrow(run, FIRST)
+def _stars(keys: DataFrame, work: Workspace) -> DataFrame:
+    """What _starred gives for whole keys."""
+    first = work.write(_starred(keys), "first")
+    hubs = first.where("kind = 'hub'").select("key", F.lit(0).alias("part"), "cls", "id", "th", "line", "pos")
+    return first.where("kind <> 'hub'").unionByName(work.write(_starred(hubs).where("kind <> 'hub'"), "hubs"))
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -189,32 +248,50 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
-def compare(text: str, other: str, items: list[tuple[int, int, int, int]]) -> list[tuple]:
+class Text:
+    """A text with what comparisons ask of it, each worked out once."""
+
+    def __init__(self, text: str):
+        self.text, self.hashes, self.lines = text, S.word_hashes(text), _lines(text)
+        self._sets: dict[int, np.ndarray] = {}
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [(m.start(), m.end()) for m in _word.finditer(self.text)]
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode("utf-8", "surrogatepass").lower().split()
+
+    def line(self, k: int) -> np.ndarray:
+        if k not in self._sets:
+            s, e = self.lines[k]
+            self._sets[k] = S.shingles(self.text[s:e], SHINGLE)
+        return self._sets[k]
+
+
+def compare(a: Text, b: Text, items: list[tuple[int, int, int, int]]) -> list[tuple]:
     """Links of a text with another one: items are (line, word, other's line, other's word); -1 where there is none."""
     found: list[tuple] = []
-    a_lines, b_lines = _lines(text), _lines(other)
-    spans = [(m.start(), m.end()) for m in _word.finditer(text)]
-    a, b = text.encode("utf-8", "surrogatepass").lower().split(), other.encode("utf-8", "surrogatepass").lower().split()
-    ah, bh = S.word_hashes(text), S.word_hashes(other)
     ends: dict[int, int] = {}  # by difference of places, the end of the last passage
     for line, pos, b_line, b_pos in sorted(set(items)):
         if pos < 0:
-            (s, e), (bs, be) = a_lines[line], b_lines[b_line]
-            if _similar(S.shingles(text[s:e], SHINGLE), S.shingles(other[bs:be], SHINGLE)):
-                found.append(("paragraph", line, s, e, len(text[s:e].split()), b_line, bs, be, len(other[bs:be].split())))
+            if _similar(a.line(line), b.line(b_line)):
+                (s, e), (bs, be) = a.lines[line], b.lines[b_line]
+                found.append(("paragraph", line, s, e, len(_word.findall(a.text[s:e])), b_line, bs, be, len(_word.findall(b.text[bs:be]))))
             continue
         delta = pos - b_pos
         if pos < ends.get(delta, 0):
             continue
         left = min(pos, b_pos)
-        ne = np.flatnonzero(ah[pos - left : pos] != bh[b_pos - left : b_pos])
+        ne = np.flatnonzero(a.hashes[pos - left : pos] != b.hashes[b_pos - left : b_pos])
         low = pos - left + (int(ne[-1]) + 1 if len(ne) else 0)
-        right = min(len(ah) - pos, len(bh) - b_pos)
-        ne = np.flatnonzero(ah[pos : pos + right] != bh[b_pos : b_pos + right])
+        right = min(len(a.hashes) - pos, len(b.hashes) - b_pos)
+        ne = np.flatnonzero(a.hashes[pos : pos + right] != b.hashes[b_pos : b_pos + right])
         high = pos + (int(ne[0]) if len(ne) else right)
         ends[delta] = high
-        if high - low >= MIN_WORDS and a[low:high] == b[low - delta : high - delta]:
-            found.append(("passage", -1, spans[low][0], spans[high - 1][1], high - low, -1, None, None, high - low))
+        if high - low >= MIN_WORDS and a.words[low:high] == b.words[low - delta : high - delta]:
+            found.append(("passage", -1, a.spans[low][0], a.spans[high - 1][1], high - low, -1, None, None, high - low))
     return found
 
 
@@ -232,7 +309,7 @@ def _sifted(docs: DataFrame, sieve) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def chosen(h: pd.Series) -> pd.Series:
-        return pd.Series([sieve.value.has(x) for x in h], dtype=bool)
+        return pd.Series(sieve.value.has(h))
 
     return docs.withColumn("in", chosen(_hash("id", "th")))
 
@@ -243,53 +320,69 @@ def _passage_keys(texts: DataFrame, live: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for id_, th, text, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                key, at = passages(S.word_hashes(text), np.array(keys, np.int64).view(np.uint64))
-                n = len(key)
-                yield _rows(KEYS, [key.view(np.int64), np.zeros(n, np.int64), np.full(n, id_), np.full(n, th), np.full(n, -1, np.int32), at.astype(np.int32)])
+            ids, ths, texts, keys = batch.columns
+            for a, b in slices(texts):
+                words = S.words_of(texts.slice(a, b - a).to_pylist())
+                firsts = np.append(0, words.ends)
+                got = [passages(words.hashes[x:y], np.array(k, np.int64).view(np.uint64)) for x, y, k in zip(firsts, firsts[1:], keys[a:b].to_pylist())]
+                sizes = [len(g[0]) for g in got]
+                key, at = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+                key, n = key.view(np.int64), len(key)
+                each = lambda x: np.repeat(x[a:b].to_numpy(zero_copy_only=False), sizes)
+                yield _rows(KEYS, [key, _parts(key), np.zeros(n, np.int64), each(ids), each(ths), np.full(n, -1, np.int32), at.astype(np.int32)])
 
-    return asked.mapInArrow(run, KEYS)
+    return asked.mapInArrow(held.task(run), KEYS)
 
 
 def _across(live: DataFrame) -> DataFrame:
     """live: key, cls, comp, doc (if only one has the class), items. Similar classes of a key, across components.
 
-    A key's classes are dealt out in pairs of blocks; what a task has linked it doesn't compare again.
+    A key's classes are dealt out in pairs of blocks. Bitmaps of the sets rule out most pairs; what a task has linked
+    it doesn't compare again.
     """
     sized = live.groupBy("key").agg(F.ceil(F.sum(F.octet_length("items")) / BLOCK).cast("int").alias("blocks"))
     dealt = live.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "doc", "items")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "doc", "own", "items")
 
     def rows(batches):
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def run(batches):
-        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            held: dict[int, list[tuple]] = {}  # by component: class, document, set
-            out: list[tuple] = []
-            for _, _, _, cls, comp, doc, items in group:
-                x = np.frombuffer(items, np.uint64)
-                mine = held.pop(comp, [])
-                for c in list(held):
-                    for b, other, y in held[c]:
-                        if (doc is None or doc != other) and _similar(x, y):
-                            out.append((cls, b))
-                            mine += held.pop(c)
-                            break
-                mine.append((cls, doc, x))
-                held[comp] = mine
+        for (_, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
+            out = _linked([r[3:] for r in group], i != j)
             if out:
                 yield _rows("a long, b long", zip(*out))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "cls").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "cls").mapInArrow(held.task(run), "a long, b long")
+
+
+def _linked(rows: list[tuple], across: bool) -> list[tuple[int, int]]:
+    """Similar classes of rows (cls, comp, doc, own, items), one link for two components; `across`: of two blocks."""
+    cls, comp, own = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+    doc = np.array([-1 if r[2] is None else 0 for r in rows])
+    docs = np.array([r[2] or 0 for r in rows])
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    n, bits, out = np.array(list(map(len, sets))), S.Bitmaps([S.bitmap(x) for x in sets]), []
+    for x in range(1, len(rows)):
+        ys = np.flatnonzero((comp[:x] != comp[x]) & (100 * np.minimum(n[:x], n[x]) >= PERCENT * np.maximum(n[:x], n[x])))
+        ys = ys[~((doc[ys] == 0) & (doc[x] == 0) & (docs[ys] == docs[x]))]
+        if across:
+            ys = ys[own[ys] != own[x]]
+        if not len(ys):
+            continue
+        for y in ys[bits.differ(x, ys) <= S.most_apart(n[x], n[ys], PERCENT)].tolist():
+            if comp[x] != comp[y] and _similar(sets[x], sets[y]):
+                out.append((int(cls[x]), int(cls[y])))
+                comp[comp == comp[y]] = comp[x]
+    return out
 
 
 def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Lines (cls, id, th, line, start, stop, words); their classes (cls, rep, doc), doc being null if several
     documents have the class; links of classes (a, b); passages (as LINKS)."""
     docs = _named(df, id_col, text_col)
-    first = work.write(_starred(_keys(docs)), "first")
+    first = _stars(_keys(docs), work)
     ends = F.col("cls")
     lines = first.where("kind = 'line'").select(F.col("key").alias("cls"), "id", "th", "line", F.shiftright(ends, 32).cast("int").alias("start"), ends.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("stop"), (-2 - F.col("pos")).alias("words")).dropDuplicates(["id", "th", "line"])
     lines = work.write(lines, "lines")
@@ -310,24 +403,25 @@ def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
     sieve = df.sparkSession.sparkContext.broadcast(S.Sieve(wanted.select(_hash("id", "th").alias("h")), "h"))
     texts = _sifted(docs, sieve).where("in").drop("in").join(wanted, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     texts = work.write(texts, "texts")
-    again = _starred(_passage_keys(texts, live)).where("kind = 'same'")
+    again = _stars(_passage_keys(texts, live), work).where("kind = 'same'")
     pairs = work.write(near.unionByName(at(same)).unionByName(at(again)).distinct(), "pairs")
     grouped = pairs.groupBy("id", "th", "k_id", "k_th").agg(F.collect_list(F.struct("line", "pos", "k_line", "k_pos")).alias("items"))
     both = grouped.join(texts, ["id", "th"]).join(texts.select(F.col("id").alias("k_id"), F.col("th").alias("k_th"), F.col("text").alias("k_text")), ["k_id", "k_th"])
 
     def run(batches):
+        last = other = None
         for batch in batches:
             out: list[tuple] = []
-            names = batch.schema.names
-            col = {n: batch.column(n) for n in names}
-            for r in range(batch.num_rows):
-                id_, th, k_id, k_th, text, k_text, items = (col[n][r].as_py() for n in ("id", "th", "k_id", "k_th", "text", "k_text", "items"))
-                for kind, line, s, e, w, k_line, ks, ke, kw in compare(text, k_text, [(i["line"], i["pos"], i["k_line"], i["k_pos"]) for i in items]):
-                    out.append((kind, id_, th, line, s, e, w, k_id, k_th, k_line, ks, ke, kw))
+            for id_, th, k_id, k_th, text, k_text, items in zip(*(batch.column(n) for n in ("id", "th", "k_id", "k_th", "text", "k_text", "items"))):
+                id_, th, *k = (x.as_py() for x in (id_, th, k_id, k_th))
+                if k != last:  # rows of one hub mostly come together
+                    last, other = k, Text(k_text.as_py())
+                for kind, line, s, e, w, k_line, ks, ke, kw in compare(Text(text.as_py()), other, [(i["line"], i["pos"], i["k_line"], i["k_pos"]) for i in items.as_py()]):
+                    out.append((kind, id_, th, line, s, e, w, *k, k_line, ks, ke, kw))
             if out:
                 yield _rows(LINKS, zip(*out))
 
-    found = work.write(both.select("id", "th", "k_id", "k_th", "text", "k_text", "items").mapInArrow(run, LINKS), "links")
+    found = work.write(both.select("id", "th", "k_id", "k_th", "text", "k_text", "items").mapInArrow(held.task(run), LINKS), "links")
 
     of = lambda c, p: classes.select(F.col("cls").alias(c), F.col("doc").alias(f"{c}_doc"), *(F.col(f"rep.{f}").alias(f"{p}{f}") for f in ("id", "th", "line")))
     linked = found.where("kind = 'paragraph'").join(of("a", ""), ["id", "th", "line"]).join(of("b", "k_"), ["k_id", "k_th", "k_line"])
@@ -347,10 +441,10 @@ def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
                 parts = text.split("\n")
                 yield _rows("cls long, doc long, items binary", zip(*((i["cls"], i["doc"], S.shingles(parts[i["line"]], SHINGLE).tobytes()) for i in items)))
 
-    held = work.write(asked.mapInArrow(sets, "cls long, doc long, items binary"), "sets")
-    rest = _across(left.join(held, "cls"))
+    items = work.write(asked.mapInArrow(held.task(sets), "cls long, doc long, items binary"), "sets")
+    rest = _across(left.join(items, "cls"))
     linked = work.write(linked.unionByName(rest).distinct(), "linked")
-    work.drop(first, near, pairs, texts, wanted, left, held)
+    work.drop(near, pairs, texts, wanted, left, items)
     return lines, classes, linked, found.where("kind = 'passage'")
 
 
@@ -374,15 +468,23 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without those parts; lines that only they filled go too."""
-    out, at = [], 0
-    for s, e in sorted(spans):
-        if s > at:
-            out.append(text[at:s])
-        at = max(at, e)
-    out.append(text[at:])
-    left = "".join(out)
-    return left if not spans else "\n".join(x for x in left.split("\n") if x.strip())
+    """The text without those parts; lines that only they filled go too, blank lines of the text stay."""
+    if not spans:
+        return text
+    out: list[str] = []
+    gone, k = sorted(spans), 0
+    for s, e in _lines(text):
+        while k < len(gone) and gone[k][1] <= s:
+            k += 1
+        left, at, i = "", s, k
+        while i < len(gone) and gone[i][0] < e:
+            left += text[at : max(at, gone[i][0])]
+            at = max(at, min(e, gone[i][1]))
+            i += 1
+        left += text[at:e]
+        if i == k or left.strip():
+            out.append(left)
+    return "\n".join(out)
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,30 +12,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import held
+from .tokens import slices
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORDS, LONG = 200_000, 256  # entries of the memo of words, and bytes of the longest that is kept
 
+_space = np.isin(np.arange(256), [ord(c) for c in " \t\n\x0b\f\r"])
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= LONG:
-            self[word] = h
-        return h
 
+class Words(NamedTuple):
+    """Words of several texts that are laid end to end, a newline after each but the last."""
 
-_hashes = _Hashes()
-held.holder("shingles", _hashes.clear)
+    hashes: np.ndarray
+    ends: np.ndarray  # how many words there are up to each text's end
+    starts: np.ndarray  # where words begin in raw
+    raw: np.ndarray  # bytes, A-Z in lower case
+
+
+def words_of(texts: list[str | None]) -> Words:
+    """Words are runs without space, tab, newline, vertical tab, form feed and return. Each distinct one is hashed once."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    raw = np.frombuffer(b"\n".join(parts), dtype=np.uint8)
+    solid = np.zeros(len(raw) + 2, dtype=bool)
+    np.logical_not(_space[raw], out=solid[1:-1])
+    turn = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid[1:-1]])])
+    coded = words.dictionary_encode()
+    distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    bounds = np.cumsum([len(x) + 1 for x in parts])
+    return Words(distinct[coded.indices.to_numpy()], np.searchsorted(starts, bounds), starts, raw)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Words are runs without space, tab, newline, vertical tab, form feed and return; A-Z in lower case."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    """Those of one text."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, (text or "").encode("utf-8", "surrogatepass").lower().split()), dtype=np.uint64)
 
 
 def rolled(words: np.ndarray, n: int) -> np.ndarray:
@@ -45,14 +59,28 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
     return out * np.uint64(MIX[1])
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Distinct hashes of n words in a row, sorted; of fewer words, one of the whole; without words, none."""
-    words = word_hashes(text)
+def _set(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(rolled(words, n if len(words) >= n else len(words)))
 
 
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Distinct hashes of n words in a row, sorted; of fewer words, one of the whole; without words, none."""
+    return _set(word_hashes(text), n)
+
+
+def sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """shingles() of each text, in slices."""
+    for a, b in slices(texts):
+        words = words_of(texts.slice(a, b - a).to_pylist())
+        every = rolled(words.hashes, n) if len(words.hashes) >= n else words.hashes
+        first = 0
+        for last in words.ends.tolist():
+            yield np.unique(every[first : last - n + 1]) if last - first >= n else _set(words.hashes[first:last], n)
+            first = last
+
+
 def digest(values: np.ndarray, seed: int) -> tuple[bytes, int]:
     """128 bits of a set, and 64 bits that name it."""
     full = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
