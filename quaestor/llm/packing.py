@@ -21,7 +21,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import tokens
+from . import held, tokens
 
 CAPACITY = 2048
 POOL = 4000  # remaining documents of a pool
@@ -176,4 +176,4 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
         packer.settle(last=True)
         yield _batch(packer.pieces())
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(held.task(run), SCHEMA)
