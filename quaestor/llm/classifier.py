@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import held
+
 FEATURES, WIDTH, RIDGE, SEED = 192, 4.0, 1.0, 20240229
 MOST = 40_000  # labelled rows that are fitted on, about
 PARTS = 12  # partitions that sum normal equations
@@ -100,6 +102,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST) -> Model:
     """A model from labelled documents that are not held out; a quarter of those fitted on calibrate."""
+    held.bounded(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.min("y").cast("double").alias("y")).where(fold > 0)

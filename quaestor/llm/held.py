@@ -37,6 +37,16 @@ def release(keep: str = "") -> None:
         pass
 
 
+ROWS = 2_000  # of a batch, where the session has Spark's default of 10,000
+
+
+def bounded(spark) -> None:
+    """Makes batches to and from workers smaller for this session: whole texts in them lie in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS))
+
+
 def task(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
     """run, after which the worker keeps nothing: it may idle beside workers of the next stage."""
 

@@ -160,6 +160,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document in a window of at most `capacity` tokens."""
+    held.bounded(df.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(batches):

@@ -311,7 +311,8 @@ def _sifted(docs: DataFrame, sieve) -> DataFrame:
     def chosen(h: pd.Series) -> pd.Series:
         return pd.Series(sieve.value.has(h))
 
-    return docs.withColumn("in", chosen(_hash("id", "th")))
+    # asked once a row: a deterministic function would be put both into the filter and beside it
+    return docs.withColumn("in", chosen.asNondeterministic()(_hash("id", "th")))
 
 
 def _passage_keys(texts: DataFrame, live: DataFrame) -> DataFrame:
@@ -381,6 +382,7 @@ def _linked(rows: list[tuple], across: bool) -> list[tuple[int, int]]:
 def links(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Lines (cls, id, th, line, start, stop, words); their classes (cls, rep, doc), doc being null if several
     documents have the class; links of classes (a, b); passages (as LINKS)."""
+    held.bounded(df.sparkSession)
     docs = _named(df, id_col, text_col)
     first = _stars(_keys(docs), work)
     ends = F.col("cls")
@@ -504,7 +506,7 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_co
     same = sifted.where(~F.col("in")).select("row.*")
     changed = sifted.where("in").join(spans, ["id", "th"], "left")
     text = F.coalesce(field[text_col], F.lit(""))
-    changed = changed.select("row", "spans", F.when(F.col("spans").isNull(), field[text_col]).otherwise(cut(text, F.col("spans"))).alias("left"))
+    changed = changed.select("row", "spans", F.when(F.col("spans").isNull(), field[text_col]).otherwise(cut.asNondeterministic()(text, F.col("spans"))).alias("left"))
     changed = changed.where(F.col("spans").isNull() | (F.col("left") != ""))
     field[text_col] = F.col("left")
     if size_col in field:
