@@ -38,6 +38,24 @@ def content_atoms(text, least: int = 32) -> Column:
     return F.transform(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= least)), lambda x: F.sha2(x, 256))
 
 
+def leaf_strings(state) -> Column:
+    """The string leaves of a JSON value at any depth: strings that no colon follows in the canonical form.
+
+    Escaped backslashes and quotes stand as control characters meanwhile, which JSON never holds as they are.
+    """
+    marked = F.replace(F.replace(F.to_json(F.parse_json(col(state))), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    strings = F.regexp_extract_all(marked, F.lit('"[^"]*+":?+'), F.lit(0))
+    found = F.array_join(F.filter(strings, lambda x: ~F.endswith(x, F.lit(":"))), ",")
+    back = F.replace(F.replace(found, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.from_json(F.concat(F.lit("["), back, F.lit("]")), "array<string>")
+
+
+def leaf_atoms(state, least: int = 32) -> Column:
+    """Digests of whole leaf strings with that many normalised characters or more."""
+    whole = F.filter(F.transform(leaf_strings(state), normalized), lambda x: F.length(x) >= least)
+    return F.transform(F.array_distinct(whole), lambda x: F.sha2(x, 256))
+
+
 def bucket(key, kind: str = "sha256") -> Column:
     """From 0 to 1 by a key's hash: SHA-256 over 2**32, or SHA-1 over 2**32 - 1."""
     hashed, top = (F.sha2(col(key), 256), 4294967296.0) if kind == "sha256" else (F.sha1(col(key)), 4294967295.0)

@@ -9,7 +9,7 @@ from ..operators import adapters as A
 from ..operators import metrics as M
 from ..sources.session import table
 from .registry import query
-from .select import ATOMS, bucket, norm
+from .select import ATOMS, norm
 
 
 @query("SELECT s_suppkey, 'name' AS key, replace(s_name, '''', '') AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier")
@@ -67,10 +67,10 @@ def complete_group_rows(spark, d):
     return table(spark, d, "labels").where("quality = 1").join(chosen, "doc_id", "left_semi").select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE {norm('text')} NOT IN (SELECT {norm('text')} FROM benchmark) AND {bucket('CAST(doc_id AS VARCHAR)')} < 0.5")
+@query(f"SELECT doc_id FROM documents WHERE {norm('text')} NOT IN (SELECT {norm('text')} FROM benchmark)")
 def normalised_text_block(spark, d):
     blocked = table(spark, d, "benchmark").select(K.normalized("text").alias("k"))
-    rows = table(spark, d, "documents").where(K.bucket(F.col("doc_id").cast("string")) < 0.5).select("doc_id", K.normalized("text").alias("k"))
+    rows = table(spark, d, "documents").select("doc_id", K.normalized("text").alias("k"))
     return rows.join(blocked, "k", "left_anti").select("doc_id")
 
 

@@ -92,10 +92,10 @@ def label_smoothing(spark, d):
     return _labelled(spark, d).withColumn("t", t).select("doc_id", F.round(F.col("t")[0], 6).alias("p_no"), F.round(F.col("t")[1], 6).alias("p_yes"))
 
 
-@query("""WITH a AS (SELECT vec_id, unnest(list_transform(embedding[1:4], lambda x: greatest(CAST(x AS DOUBLE), 0.0))) AS p, unnest(range(4)) AS k FROM embeddings), s AS (SELECT vec_id, sum(p) AS s FROM a GROUP BY vec_id)
+@query("""WITH a AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0.0))) AS p, unnest(range(len(embedding))) AS k FROM embeddings), s AS (SELECT vec_id, sum(p) AS s FROM a GROUP BY vec_id)
 SELECT vec_id, k, round(p / s, 5) AS p FROM a JOIN s USING (vec_id) WHERE s > 0""")
 def soft_label_normalise(spark, d):
-    v = V.normalised(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
+    v = V.normalised(F.transform("embedding", lambda x: x.cast("double")))
     rows = table(spark, d, "embeddings").select("vec_id", v.alias("v")).where("v IS NOT NULL")
     return rows.select("vec_id", F.posexplode("v").alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 5).alias("p"))
 
@@ -107,16 +107,9 @@ def _distractors(spark, d, chosen):
     return X.distractors(rows, part, "p_type", "gold", "o_orderkey", 5, 4)
 
 
-@query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_orderkey % 40 = 0) GROUP BY o_orderkey),
-r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
-def catalog_distractors(spark, d):
-    return _distractors(spark, d, "l_linenumber = 1 AND l_orderkey % 40 = 0")
-
-
 @query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) GROUP BY o_orderkey),
 r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
-def catalog_distractors_all(spark, d):
-    """catalog_distractors over all orders."""
+def catalog_distractors(spark, d):
     return _distractors(spark, d, "l_linenumber = 1")
 
 

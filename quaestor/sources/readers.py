@@ -23,6 +23,15 @@ def json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def nested_json(spark: SparkSession, glob: str, schema, *lists: str) -> DataFrame:
+    """Files of JSON arrays by a pattern, their nested lists exploded in turn, with each element's place."""
+    rows = spark.read.option("multiLine", True).schema(schema).json(glob)
+    for path in lists:
+        name = path.split(".")[-1]
+        rows = rows.select("*", F.posexplode(path).alias(f"{name}_at", f"{name}_one"))
+    return rows
+
+
 def csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True)
     return (reader.schema(schema) if schema else reader).csv(path)

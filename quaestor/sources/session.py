@@ -13,12 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one, which is then set."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine, as in tests, a temporary one, which is then
+    set. On a cluster, where executors don't see the driver's folders, it has to be set."""
     sc = spark.sparkContext
     said = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quaestor-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -5,6 +5,7 @@ import json
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quaestor.functions import keys, vectors
@@ -94,3 +95,53 @@ def test_distractors_of_a_large_catalog(spark):
     catalog = spark.createDataFrame([(f"c{i % 50}",) for i in range(90)] + [(None,)], "c string")
     got, want = (sorted(map(tuple, examples.distractors(rows, catalog, "c", "gold", "id", 5, 1, most=m).collect())) for m in (8, 100))
     assert got == want and len(got) == 5 * 21
+
+
+def test_leaf_strings_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from quaestor.functions import keys as K
+
+    states = ['{"a": ["he said \\"x\\": ok\\\\", ["two", 3]], "b": {"c": "three: \\n", "": null}}', '"alone"', "[]", "7"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(states)], "i int, j string").orderBy("i").select(K.leaf_strings("j")).collect()]
+    assert got == [['he said "x": ok\\', "two", "three: \n"], ["alone"], [], []]
+
+
+def test_counts_and_lookups_that_fail_the_job(spark):
+    from quaestor.operators import requests as R
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, k int")
+    with pytest.raises(Exception, match="too few rows in b"):
+        R.at_least(rows, "g", 2).collect()
+    with pytest.raises(Exception, match="too few rows in b"):
+        R.quota(rows, "g", 2, "k").collect()
+    found = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    with pytest.raises(Exception, match="no value for 3"):
+        R.total_lookup(rows, found, "k", "v").collect()
+    assert [r["v"] for r in R.total_lookup(rows.where("k < 3"), found, "k", "v").orderBy("k").collect()] == ["x", None]
+
+
+def test_nested_json_files_and_their_lists(spark, tmp_path):
+    import json
+
+    from quaestor.sources import readers
+
+    for k in range(2):
+        (tmp_path / f"d{k}.json").write_text(json.dumps([{"id": k, "turns": [{"say": "a", "frames": [1, 2]}, {"say": "b", "frames": [3]}]}]))
+    got = readers.nested_json(spark, f"{tmp_path}/*.json", "id int, turns array<struct<say: string, frames: array<int>>>", "turns", "turns_one.frames")
+    assert sorted((r["id"], r["turns_at"], r["frames_at"], r["frames_one"]) for r in got.collect()) == [(k, *x) for k in range(2) for x in ((0, 0, 1), (0, 1, 2), (1, 0, 3))]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quaestor.sources import session
+
+    class Fake:
+        class sparkContext:
+            master = "spark://h:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Fake())
