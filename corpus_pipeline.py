@@ -1,4 +1,11 @@
-"""The corpus pipeline: its stages, each a call of one operator, and a run over the documents of a data folder."""
+"""The corpus pipeline: its stages, each a call of one operator, and a run over the documents of a data folder.
+
+Null and empty texts are scored as empty by the classifier; what it keeps of them the quality rules reject, as they have
+fewer words than the least number. Rows without an id stay until packing, where their pieces have none. Repeated rows
+are one group of copies, of which the near-duplicate stage leaves the rows of the least id, and substring dedup cuts
+nothing between rows of one id and text. Other columns of documents pass through all stages but the last, whatever
+their names. A table without rows gives no pieces; without labels every document has one score.
+"""
 
 from __future__ import annotations
 
