@@ -104,9 +104,10 @@ def compression_gates(spark, d):
     return got.select((F.col("drop") <= 0.005).alias("accuracy_ok"), (F.col("nll") <= 0.02).alias("nll_ok"))
 
 
-@query(BASE + f", a AS (SELECT src, avg(CASE WHEN {ARGMAX.format(p='p')} = gold THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN vec_id % 5 = gold THEN 1.0 ELSE 0.0 END) AS delta FROM v GROUP BY src) SELECT src, round(100 * delta, 4) AS points FROM a WHERE delta < -0.005 ORDER BY delta, src LIMIT 5")
+@query(BASE + f", a AS (SELECT src, avg(CASE WHEN vec_id % 5 = gold THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN {ARGMAX.format(p='p')} = gold THEN 1.0 ELSE 0.0 END) AS delta FROM v GROUP BY src) SELECT src, round(100 * delta, 4) AS points FROM a WHERE delta < -0.005 ORDER BY delta, src LIMIT 5")
 def deficits_in_points(spark, d):
-    rows = families(spark, d).withColumn("delta", F.col("candidate") - F.col("baseline")).where("delta < -0.005").orderBy("delta", "src").limit(5)
+    """The largest deficits of a guess by id against the scorer, of more than half a point."""
+    rows = families(spark, d).withColumn("delta", F.col("baseline") - F.col("candidate")).where("delta < -0.005").orderBy("delta", "src").limit(5)
     return rows.select("src", F.round(100 * F.col("delta"), 4).alias("points"))
 
 
