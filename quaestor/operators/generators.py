@@ -66,6 +66,56 @@ def programs(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", F.posexplode(results).alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v"))
 
 
+def deep_rule() -> tuple[Column, Column]:
+    """A rule of two to four operators over five facts, in words, and its truth, by the row's number."""
+    x, names = bits("deep"), "abcde"
+    facts, depth = F.array(*(digit(x, 2**i, 2) == 1 for i in range(5))), digit(x, 32, 3) + 2
+    rule = truth = None
+    for i in range(5):
+        y = bits(f"leaf{i}")
+        fact, negated = digit(y, 1, 5).cast("int"), digit(y, 5, 10) < 3
+        word = F.concat(F.when(negated, "not ").otherwise(""), F.get(F.array(*map(F.lit, names)), fact))
+        said = F.get(facts, fact) != negated
+        if rule is None:
+            rule, truth = word, said
+            continue
+        both = digit(y, 50, 2) == 0
+        rule = F.when(depth >= i, F.concat(F.lit("("), rule, F.when(both, " and ").otherwise(" or "), word, F.lit(")"))).otherwise(rule)
+        truth = F.when(depth >= i, F.when(both, truth & said).otherwise(truth | said)).otherwise(truth)
+    return rule, truth
+
+
+def list_programs(spark: SparkSession, n: int) -> DataFrame:
+    """What six one-line programs over a list and two numbers give, lists as text."""
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), 2 + F.col("id") % 5), lambda i: (F.col("id") * 7 + i * i * 5 + i) % 26 - 10)
+    rows = spark.range(n).select("id", (F.col("id") % 21 - 8).alias("k"), (F.col("id") % 7 + 2).alias("m"), numbers.alias("x"))
+    k, m, x = F.col("k"), F.col("m"), F.col("x")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    size = F.size(x).cast("long")
+    last = F.slice(x, F.greatest(size - m + 1, F.lit(1)).cast("int"), m.cast("int"))
+    listed = lambda a: F.array_join(a.cast("array<string>"), ",")
+    results = [
+        total(F.transform(F.filter(x, lambda v: v % m != 0), lambda v: v + k)).cast("string"),
+        listed(F.filter(F.transform(x, lambda v: v * k), lambda v, i: i % m == 0)),
+        listed(F.slice(F.array_sort(F.array_distinct(F.concat(x, F.array(k)))), F.lit(1), m.cast("int"))),
+        (total(last) + k).cast("string"),
+        listed(F.reverse(F.filter(x, lambda v: v > k))),
+        F.size(F.filter(x, lambda v: F.pmod(v, m) == F.pmod(k, m))).cast("string"),
+    ]
+    return rows.select("id", F.posexplode(F.array(*results)).alias("body", "result")).select("id", F.col("body").cast("long").alias("body"), "result")
+
+
+def grace_deadlines(df: DataFrame, key: str, date: str, graces: list[int]) -> DataFrame:
+    """Receipts around a due date and the end of its days of grace: 0 on time, 1 late but accepted, 2 rejected."""
+    which = F.pmod(F.col(key), F.lit(3)).cast("int")
+    rows = df.select(key, F.col(date).cast("date").alias("due"), F.get(F.array(*map(F.lit, graces)), F.pmod(F.col(key), F.lit(len(graces))).cast("int")).alias("grace"))
+    rows = rows.select(key, "due", "grace", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1), F.col("grace"), F.col("grace") + 1)).alias("days"))
+    day = F.date_add("due", F.col("days"))
+    shown = F.when(which == 0, F.date_format(day, "yyyy-MM-dd")).when(which == 1, F.date_format(day, "MMMM dd, yyyy")).otherwise(F.date_format(day, "dd MMMM yyyy"))
+    label = F.when(F.col("days") <= 0, 0).when(F.col("days") <= F.col("grace"), 1).otherwise(2)
+    return rows.select(key, "grace", "days", label.alias("label"), shown.alias("received"))
+
+
 def length_scores(prompts: list[str], counts: list[int]) -> list[list[float]]:
     """A batch scorer for tests."""
     return [[float(len(p) % (i + 2)) for i in range(n)] for p, n in zip(prompts, counts)]

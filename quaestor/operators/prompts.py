@@ -1,0 +1,48 @@
+"""Prompts of typed questions, and answers of foreign layouts, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .examples import labels
+
+# What stands around state, question, options and the wish for an answer.
+STATE, STATE_END, QUESTION = "<state>\n", "\n</state>\n\n", "Question: "
+OPTIONS, SCALE = "Options:\n", "Scale (lowest to highest):\n"
+BEST, LEVEL, YES_NO = "Answer with the label of the best option (", "Answer with the level number (0-", "Answer yes or no."
+
+
+def user_prompt(kind: Column, state: Column, instructions: Column, options: Column) -> Column:
+    """The user's turn of a choice, score or yes/no question; options are structs of key and desc."""
+    n = F.size(options)
+    lettered = F.array_join(F.transform(options, lambda o, i: F.concat(F.get(labels(), i), F.lit(": "), o["key"], F.lit(": "), o["desc"])), "\n")
+    levels = F.array_join(F.transform(options, lambda o, i: F.concat(i.cast("string"), F.lit(": "), o["desc"])), "\n")
+    choice = F.concat(F.lit(OPTIONS), lettered, F.lit("\n" + BEST + "A-"), F.get(labels(), n - 1), F.lit(")."))
+    score = F.concat(F.lit(SCALE), levels, F.lit("\n" + LEVEL), (n - 1).cast("string"), F.lit(")."))
+    asked = F.when(kind == "choice", choice).when(kind == "score", score).otherwise(F.lit(YES_NO))
+    return F.concat(F.lit(STATE), state, F.lit(STATE_END + QUESTION), instructions, F.lit("\n"), asked)
+
+
+def chat(turns: list[tuple[str, Column]], turn: str = "<|im_start|>{role}\n{text}<|im_end|>\n", start: str = "<|im_start|>assistant\n") -> Column:
+    """Turns in a chat template, and the start of the answer."""
+    parts = []
+    for role, text in turns:
+        before, after = turn.replace("{role}", role).split("{text}")
+        parts += [F.lit(before), text, F.lit(after)]
+    return F.concat(*parts, F.lit(start))
+
+
+def answer_probabilities(kind: Column, answer: Column, keys: list[str]) -> Column:
+    """A JSON answer's distribution; null where it has none.
+
+    Yes/no: no and yes, from `probability`, `p_yes` or `yes`. Else from `probabilities` or `distribution`: a list of
+    numbers or of objects with `probability` as it stands, an object by the keys of a choice, or its values of a score.
+    """
+    field = lambda *names: F.coalesce(*(F.get_json_object(answer, f"$.{n}") for n in names))
+    yes, given = field("probability", "p_yes", "yes").try_cast("double"), field("probabilities", "distribution")
+    by_key = F.from_json(given, "map<string,double>")
+    listed = F.when(F.startswith(given, F.lit("[{")), F.transform(F.from_json(given, "array<struct<probability:double>>"), lambda x: x["probability"])).otherwise(F.from_json(given, "array<double>"))
+    named = F.when(kind == "choice", F.array(*(F.coalesce(F.try_element_at(by_key, F.lit(k)), F.lit(0.0)) for k in keys))).otherwise(F.map_values(by_key))
+    several = F.when(F.startswith(given, F.lit("[")), listed).when(F.startswith(given, F.lit("{")), named)
+    return F.when(kind == "noul", F.when(yes.isNotNull(), F.array(1 - yes, yes))).otherwise(several)
