@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 PAIR = r"'([^']*)': '([^']*)'"
 
@@ -31,3 +35,44 @@ def answer_distribution(answer: Column, keys: list[str]) -> Column:
     """A JSON answer's probabilities in the order of the keys: from `probabilities`, else all on `choice`."""
     probability = lambda k: F.coalesce(F.get_json_object(answer, f"$.probabilities.{k}").cast("double"), F.when(F.get_json_object(answer, "$.choice") == k, 1.0).otherwise(0.0))
     return F.array(*(probability(k) for k in keys))
+
+
+# How an assistant says that it can't.
+REFUSAL = r"(?i)(don't|do not) have (the )?(capability|function|ability)|only (have|allows|function)|cannot (assist|help|perform)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tool_names(system: pd.Series) -> pd.Series:
+    """Names of the JSON objects that stand one after another in a text; null where they aren't such objects."""
+    read = json.JSONDecoder().raw_decode
+
+    def names(text):
+        at, out = text.find("{") if text else -1, []
+        if at < 0:
+            return None
+        try:
+            while at < len(text):
+                tool, at = read(text, at)
+                out.append(tool["name"])
+                while at < len(text) and text[at].isspace():
+                    at += 1
+        except (ValueError, KeyError, TypeError):
+            return None
+        return out if all(isinstance(x, str) for x in out) else None
+
+    return system.map(names)
+
+
+def tool_calls(df: DataFrame, chat: str, system: str, longest: int = 1800) -> DataFrame:
+    """Rows with the first request (user), the tools on offer (tools) and the tool called (called; null: none fits).
+
+    Left out are rows without such a pair, of repeated or unreadable tools, of a call to a tool that isn't there, of
+    an answer that neither calls nor declines, and of requests longer than `longest`.
+    """
+    pair = r"(?s)USER:\s*(.*?)\n+ASSISTANT:\s*(.*?)(?:<\|endoftext\|>|\n\n)"
+    parts = df.withColumns({"user": F.trim(F.regexp_extract(chat, pair, 1)), "_said": F.regexp_extract(chat, pair, 2), "_pair": F.rlike(chat, F.lit(pair))}).where("_pair")
+    parts = parts.withColumns({"tools": tool_names(system), "_calls": F.startswith("_said", F.lit("<functioncall>"))}).where("tools IS NOT NULL AND size(array_distinct(tools)) = size(tools)")
+    called = F.nullif(F.regexp_extract("_said", r"^<functioncall>\s*\{\s*['\"]name['\"]\s*:\s*['\"]([^'\"]*)['\"]", 1), F.lit(""))
+    parts = parts.withColumn("called", called).where(F.length("user") <= longest)
+    fine = F.when(F.col("_calls"), F.array_contains("tools", F.col("called"))).otherwise(F.col("_said").rlike(REFUSAL))
+    return parts.where(F.coalesce(fine, F.lit(False))).drop("_said", "_pair", "_calls")

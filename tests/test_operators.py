@@ -145,3 +145,52 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Fake())
+
+
+def test_tool_calls_of_odd_rows(spark):
+    from quaestor.operators.adapters import tool_calls
+
+    chat = lambda user, said: f"USER: {user}\n\nASSISTANT: {said}<|endoftext|>\n\n"
+    rows = [
+        (1, chat("a", '<functioncall> {"name": "f"}'), 'x {"name": "f"}{"name": "g", "p": {"q": "}{"}}'),
+        (2, chat("a", '<functioncall> {"name": "h"}'), '{"name": "f"}'),
+        (3, chat("a", "I cannot help."), '{"name": "f"}'),
+        (4, chat("a", "I cannot help."), '{"name": "f"} {"name": "f"}'),
+        (5, chat("a", "I cannot help."), '{"name": "f"} and more'),
+        (6, chat("a" * 1801, "I cannot help."), '{"name": "f"}'),
+        (7, None, '{"name": "f"}'),
+        (8, chat("a", "I cannot help."), None),
+        (9, chat("", "Yes."), '{"name": "f"}'),
+    ]
+    got = tool_calls(spark.createDataFrame(rows, "id int, chat string, system string"), "chat", "system").collect()
+    assert sorted((r["id"], r["user"], r["tools"], r["called"]) for r in got) == [(1, "a", ["f", "g"], "f"), (3, "a", ["f"], None)]
+
+
+def test_rule_trees_against_a_plain_evaluator(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quaestor.operators import trees
+
+    rng = random.Random(4)
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return [str(rng.randrange(4))]
+        op = rng.choice(list(trees.ARITY))
+        return [t for _ in range(trees.ARITY[op]) for t in grown(depth - 1)] + [op]
+
+    def plain(tokens, facts):
+        stack = []
+        for t in tokens:
+            if t.isdigit():
+                stack.append(facts[int(t)])
+                continue
+            args = [stack.pop() for _ in range(trees.ARITY[t])][::-1]
+            stack.append({"not": lambda a: not a, "and": lambda a, b: a and b, "or": lambda a, b: a or b, "if": lambda a, b, c: b if a else c}[t](*args))
+        return stack[0]
+
+    rows = [(grown(4), [rng.random() < 0.5 for _ in range(4)]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "t array<string>, f array<boolean>").select("t", "f", trees.truth(F.col("t"), F.col("f")).alias("x"), trees.leaves(F.col("t")).alias("l")).collect()
+    assert all(r["x"] == plain(r["t"], r["f"]) and r["l"] == sorted({int(t) for t in r["t"] if t.isdigit()}) for r in got)
