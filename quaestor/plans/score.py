@@ -188,11 +188,11 @@ def paired_delta(spark, d):
 
 
 @query(BASE + f""", x AS (SELECT src, vec_id, round({BRIER.format(p='p')} - {BRIER.format(p='q')}, 9) AS y FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY src) AS m FROM x),
-w AS (SELECT src, j, CAST(('0x' || substr(md5(concat_ws('|', '11', CAST(j AS VARCHAR), CAST(vec_id AS VARCHAR))), 1, 8)) AS BIGINT) % m AS pos FROM r, range(200) AS g(j)), d AS (SELECT j, avg(y) AS mean FROM w JOIN r USING (src, pos) GROUP BY j)
+w AS (SELECT src, j, CAST(('0x' || substr(md5(concat_ws('|', '11', CAST(j AS VARCHAR), CAST(vec_id AS VARCHAR))), 1, 8)) AS BIGINT) % m AS pos FROM r, range(5000) AS g(j)), d AS (SELECT j, avg(y) AS mean FROM w JOIN r USING (src, pos) GROUP BY j)
 SELECT round((SELECT avg(y) FROM x), 6) AS delta, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM d""")
 def stratified_bootstrap(spark, d):
     rows = base(spark, d).select("src", "vec_id", F.round(V.brier("p", "t") - V.brier("q", "t"), 9).alias("y"))
-    return M.bootstrap_interval(rows, "src", "vec_id", "y", 200, 11).select(r6("delta"), r6("low"), r6("high"))
+    return M.bootstrap_interval(rows, "src", "vec_id", "y", 5000, 11).select(r6("delta"), r6("low"), r6("high"))
 
 
 @query(BASE + f", m AS (SELECT *, list_transform(range(1, 6), lambda i: 0.6 * p[i] + 0.4 * q[6 - i]) AS u FROM v) SELECT count(*) FILTER (WHERE {ARGMAX.format(p='p')} <> {ARGMAX.format(p='u')}) AS flips, round(max(list_max(list_transform(range(1, 6), lambda i: abs(p[i] - u[i])))), 6) AS drift FROM m")
