@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.session import table
-from . import ann, bpe, classifier, jaccard_join, packing, para_dedup, quality_rules, sharding, token_counts, wavelet
+from . import ann, bins, bpe, centroids, classifier, dialogue_repair, jaccard_join, packing, para_dedup, quality_rules, sharding, token_counts, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -52,5 +52,27 @@ def op10_nearest(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe, op7_jaccard_join, op8_classifier, op9_substring_dedup, op10_nearest)}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.inertia(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_dialogue_repair(spark, sf_dir):
+    return dialogue_repair.audits(dialogue_repair.damage(table(spark, sf_dir, "conversations")), "present")
+
+
+def op13_best_fit_packing(spark, sf_dir):
+    return bins.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_token_counts, op3_token_files, op4_quality_rules, op5_sharding, op6_bpe, op7_jaccard_join, op8_classifier,
+        op9_substring_dedup, op10_nearest, op11_centroid_clustering, op12_dialogue_repair, op13_best_fit_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op11_centroid_clustering": centroids.oracle(),
+    "op12_dialogue_repair": dialogue_repair.ORACLE,
+}
