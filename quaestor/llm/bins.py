@@ -6,9 +6,10 @@ fits best, or exchanged with another bin's item for a shorter one (one for one),
 own for one (two for one). Every such step makes a fuller bin fuller and so the sum of squared fills greater, which
 bounds their number. Where nothing can go on, the next bin is tried; passes end when one saves no bin.
 
-Items are dealt into groups of about GROUP by their serial number, and a group is one task's. All but one group of a
-round leave their OPEN emptiest bins open: the items in those are dealt into the fewer groups of the next round, until
-one group is left. So what partial bins there are at the end is those of one group, however many items there are.
+Items are dealt into groups of about GROUP by their serial number (of more where they are short, so that a group fills
+SHARE times as many bins as it leaves open), and a group is one task's. All groups of a round leave their OPEN emptiest
+bins open: the items in those, a SHARE-th part at most, are dealt into the groups of the next round, until one group is
+left. So what partial bins there are at the end is those of one group, however many items there are.
 
 pack() makes documents into items: ids of a text with the end id, and only documents longer than the capacity are cut,
 into pieces of it; the ids themselves are not shuffled. Null and empty texts hold the end id alone. Rows repeat freely:
@@ -30,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..sources.session import Workspace
 from . import held, tokens
 
-CAPACITY, GROUP, OPEN = 4096, 8_000, 4
+CAPACITY, GROUP, OPEN, SHARE = 4096, 8_000, 4, 16
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -225,8 +226,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, open_b
     full = items.where(F.col("length") >= capacity).select("*", F.col("serial").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     live, done, turn = items.where(F.col("length") < capacity), [full], 0
     while True:
-        n = live.count()
-        groups = max(1, -(-n // group))
+        n, total = live.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(-(-n // group), total // (SHARE * open_bins * capacity)))
         last = groups == 1
 
         # serials count within partitions, so that groups are even however rows repeat

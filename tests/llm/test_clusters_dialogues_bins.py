@@ -248,6 +248,30 @@ def test_no_set_is_packed_better_than_best(spark):
     assert 0 <= more <= 2
 
 
+def gapless(rows):
+    """The number of sequences, each of which has its items end to end."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    return len(by)
+
+
+@pytest.mark.parametrize("longest", [3, 1500, 4096])
+def test_open_bins_go_on_to_the_next_round(spark, longest):
+    rnd = random.Random(longest)
+    items = [(i, rnd.randint(1, longest)) for i in range(6000)]
+    df = spark.createDataFrame(items, "serial long, length long").repartition(5)
+    got = bins.place(df, group=300, open_bins=1).collect()
+    assert sorted((r["serial"], r["length"]) for r in got) == items
+    assert gapless(got) <= 1.03 * len(bins.best_fit([n for _, n in items], 4096)) + 2  # groups of 300 only
+
+
 def test_pieces_and_places(spark):
     rnd = random.Random(2)
     texts = [" ".join(rnd.choice(["stone", "river", "É", "1", "walking."]) for _ in range(rnd.choice([3, 60, 700]))) for _ in range(300)]
@@ -258,20 +282,10 @@ def test_pieces_and_places(spark):
     for d, t, *_ in rows:
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
         want.update((d, k, 4096 * k, len(p), zlib.crc32(p.tobytes())) for k, p in enumerate(np.split(ids, range(4096, len(ids), 4096))))
-    for group in (bins.GROUP, 60):  # of 60: several rounds
-        got = bins.pack(df, WORD, group=group).collect()
-        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
-        by = defaultdict(list)
-        for r in got:
-            by[r["sequence_id"]].append((r["offset"], r["length"]))
-        for v in by.values():
-            at = 0
-            for offset, length in sorted(v):
-                assert offset == at
-                at += length
-            assert at <= 4096
-        short = [r["length"] for r in got if r["length"] < 4096]
-        assert len(by) <= len(bins.best_fit(short, 4096)) + len(got) - len(short) + (group == 60)
+    got = bins.pack(df, WORD).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    short = [r["length"] for r in got if r["length"] < 4096]
+    assert gapless(got) <= len(bins.best_fit(short, 4096)) + len(got) - len(short)
     assert bins.pack(df.limit(0), WORD).count() == 0
 
 
