@@ -16,11 +16,6 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     return df.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def two_key_dedup(df: DataFrame, identity: Sequence[str], semantic: Sequence[str], order: Sequence) -> DataFrame:
-    """First by identity, then of those first by meaning. Differs from a sequential pass on chains of the two only."""
-    return first_by(first_by(df, identity, order), semantic, order)
-
-
 def exclude_overlap(df: DataFrame, keys: Column, blocked: DataFrame, blocked_key: str, id_col: str) -> DataFrame:
     """Rows of which no key is blocked."""
     hit = df.select(id_col, F.explode(keys).alias("_k")).join(blocked.select(F.col(blocked_key).alias("_k")).distinct(), "_k", "left_semi").select(id_col).distinct()

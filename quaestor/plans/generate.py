@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import generators as G
+from ..operators.batches import token_budget
 from ..operators.manifest import counts, fingerprint
 from ..sources.session import table
 from .registry import query
@@ -75,12 +76,20 @@ def scan_aggregate(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (
+    SELECT source, doc_id, length, row_number() OVER (PARTITION BY source ORDER BY length, doc_id) AS i
+    FROM (SELECT source, doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS length FROM documents)),
+walk AS (
+    SELECT source, doc_id, length, i, 0::BIGINT AS batch, 1::BIGINT AS held FROM s WHERE i = 1
+    UNION ALL
+    SELECT s.source, s.doc_id, s.length, s.i, batch + CASE WHEN s.length * (held + 1) > 8192 THEN 1 ELSE 0 END,
+        CASE WHEN s.length * (held + 1) > 8192 THEN 1 ELSE held + 1 END
+    FROM walk JOIN s ON s.source = walk.source AND s.i = walk.i + 1)
+SELECT source, batch, doc_id AS row_id, length FROM walk""")
 def token_budget_batches(spark, d):
-    """Length-sorted rows in batches of at most 8,192 tokens of padded width, per source (rows only: a sequential fold)."""
-    from ..operators.batches import token_budget
-
-    return token_budget(table(spark, d, "documents").select("doc_id", "source", F.size(F.split("text", " ")).alias("length")), "source", "doc_id", "length", 8192)
+    """Length-sorted rows in batches of at most 8,192 words of padded width, per source."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.size(F.split("text", " ")).alias("length"))
+    return token_budget(rows, "source", "doc_id", "length", 8192)
 
 
 @query()

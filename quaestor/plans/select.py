@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import selection as S
 from ..operators.components import component_labels
+from ..operators.greedy import first_without_shared_keys
+from ..operators.ordered import least_before
 from ..sources.session import table
 from .registry import query
 
@@ -48,12 +50,41 @@ def exact_dedup_first(spark, d):
     return S.first_by(rows, ["k"], ["doc_id"]).select("doc_id", "source")
 
 
-@query(f"""WITH a AS (SELECT doc_id, lang, source, n_chars, sha256({norm('text')}) AS k FROM documents),
-b AS (SELECT *, row_number() OVER (PARTITION BY lang, source, n_chars ORDER BY doc_id) AS r FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS q FROM b WHERE r = 1) SELECT doc_id, lang, source FROM c WHERE q = 1""")
+#: A loop over rows s(i, id, ks) in the order of i, which takes a row unless a row taken before holds one of its keys.
+LOOP = """walk AS (
+    SELECT 0::BIGINT AS i, []::BIGINT[] AS held, false AS took
+    UNION ALL
+    SELECT s.i, CASE WHEN list_has_any(held, ks) THEN held ELSE list_concat(held, ks) END, NOT list_has_any(held, ks)
+    FROM walk JOIN s ON s.i = walk.i + 1),
+taken AS (SELECT id FROM walk JOIN s ON s.i = walk.i WHERE took)"""
+
+
+@query(f"""WITH RECURSIVE k AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY lang, source, n_chars) * 2 AS one, dense_rank() OVER (ORDER BY sha256({norm('text')})) * 2 + 1 AS two FROM documents),
+s AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS id, [one, two] AS ks FROM k),
+{LOOP}
+SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT id FROM taken)""")
 def identity_semantic_dedup(spark, d):
+    """As a loop does: a row goes if a kept row before it has its identity or its meaning."""
     rows = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", K.state_key("text").alias("k"))
-    return S.two_key_dedup(rows, ["lang", "source", "n_chars"], ["k"], ["doc_id"]).select("doc_id", "lang", "source")
+    identity = K.digest(F.to_json(F.struct("lang", "source", "n_chars")))
+    kept = first_without_shared_keys(rows, "doc_id", F.array(F.concat(F.lit("identity:"), identity), F.concat(F.lit("meaning:"), "k")), "doc_id")
+    return rows.join(kept, "doc_id", "left_semi").select("doc_id", "lang", "source")
+
+
+SHARED = f"""every AS (SELECT doc_id, unnest(list_append({ATOMS}, sha256({norm('text')}))) AS key FROM documents),
+shared AS (SELECT key, row_number() OVER () AS n FROM every GROUP BY key HAVING count(DISTINCT doc_id) > 1)"""
+
+
+@query(f"""WITH RECURSIVE {SHARED},
+k AS (SELECT doc_id, list(DISTINCT n) AS ks FROM every JOIN shared USING (key) GROUP BY doc_id),
+s AS (SELECT row_number() OVER (ORDER BY {seeded(1, 'doc_id')}, doc_id) AS i, doc_id AS id, coalesce(ks, []) AS ks FROM documents LEFT JOIN k USING (doc_id)),
+{LOOP}
+SELECT id AS doc_id FROM taken""")
+def greedy_disjoint_holdout(spark, d):
+    """Documents in hashed order, each unless it shares a sentence or its whole text with one taken before."""
+    docs = table(spark, d, "documents").select("doc_id", K.seeded(1, "doc_id").alias("o"), F.concat(K.content_atoms("text"), F.array(K.state_key("text"))).alias("ks"))
+    return first_without_shared_keys(docs, "doc_id", F.col("ks"), "o")
 
 
 @query(f"SELECT doc_id, {bucket('CAST(doc_id AS VARCHAR)')} AS bucket FROM documents")
@@ -299,6 +330,13 @@ def running_best_checkpoint(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "value", (F.col("value") < F.coalesce(before, F.lit(1e308))).alias("improved"))
 
 
+@query("SELECT event_id, value, min(value) OVER w AS best, value < coalesce(min(value) OVER w, 1e308) AS improved FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def running_best_of_log(spark, d):
+    """The least value before each row of one log."""
+    rows = least_before(table(spark, d, "events").select("event_id", "value"), "value", ["event_id"])
+    return rows.withColumn("improved", F.col("value") < F.coalesce("best", F.lit(1e308)))
+
+
 @query("SELECT user_id, min_by(event_id, struct_pack(v := value, e := event_id)) AS best_event, min(value) AS best FROM events GROUP BY user_id")
 def arg_best_row(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best_event"), F.min("value").alias("best"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import keys, vectors
 from quaestor.operators import examples, selection
-from quaestor.operators.batches import token_budget
 from quaestor.operators.components import component_labels
 from quaestor.operators.manifest import write_manifest, write_splits
 from quaestor.sources import readers
@@ -59,16 +58,6 @@ def test_round_robin_balances(spark):
     assert counts == {"a": 8, "b": 7} or counts == {"a": 7, "b": 8}
 
 
-def test_token_budget(spark):
-    rows = [(i, "s", random.Random(i).randrange(1, 40)) for i in range(300)]
-    got = token_budget(spark.createDataFrame(rows, "id long, s string, n int"), "s", "id", "n", 100).collect()
-    assert len(got) == 300
-    batches: dict = {}
-    for r in got:
-        batches.setdefault((r["s"], r["part"], r["batch"]), []).append(r["length"])
-    assert all(max(b) * len(b) <= 100 for b in batches.values())
-
-
 def test_sources_and_sinks(spark, tmp_path):
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
         f.write('{"x": 1}\n\n{"x": 2}\n')
