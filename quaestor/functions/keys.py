@@ -22,8 +22,9 @@ def digest(text) -> Column:
 
 
 def json_digest(state) -> Column:
-    """Equal for JSON values that differ in key order or spacing only."""
-    return F.sha2(F.to_json(F.parse_json(col(state))), 256)
+    """Equal for JSON values that differ in key order or spacing only. What is no JSON value, or an object in which a
+    key repeats, has the digest of its normal form as a text."""
+    return F.coalesce(F.sha2(F.to_json(F.try_parse_json(col(state))), 256), digest(normalized(state)))
 
 
 def state_key(text, kind=None) -> Column:
@@ -39,15 +40,17 @@ def content_atoms(text, least: int = 32) -> Column:
 
 
 def leaf_strings(state) -> Column:
-    """The string leaves of a JSON value at any depth: strings that no colon follows in the canonical form.
+    """The string leaves of a JSON value at any depth: strings that no colon follows in the canonical form. What is no
+    JSON value, or an object in which a key repeats, is one leaf as a whole.
 
     Escaped backslashes and quotes stand as control characters meanwhile, which JSON never holds as they are.
     """
-    marked = F.replace(F.replace(F.to_json(F.parse_json(col(state))), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    marked = F.replace(F.replace(F.to_json(F.try_parse_json(col(state))), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
     strings = F.regexp_extract_all(marked, F.lit('"[^"]*+":?+'), F.lit(0))
     found = F.array_join(F.filter(strings, lambda x: ~F.endswith(x, F.lit(":"))), ",")
     back = F.replace(F.replace(found, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-    return F.from_json(F.concat(F.lit("["), back, F.lit("]")), "array<string>")
+    leaves = F.from_json(F.concat(F.lit("["), back, F.lit("]")), "array<string>")
+    return F.coalesce(leaves, F.when(col(state).isNotNull(), F.array(col(state))))
 
 
 def leaf_atoms(state, least: int = 32) -> Column:

@@ -29,6 +29,12 @@ def log_softmax(z) -> Column:
     return F.transform(col(z), lambda x: x - norm)
 
 
+def teacher_kl(z, teacher, temperature: float = 2.0) -> Column:
+    """How far the logits' distribution is from the teacher's, both at a temperature, times its square."""
+    own, wanted = (log_softmax(F.transform(col(x), lambda v: v / temperature)) for x in (z, teacher))
+    return total(F.zip_with(own, wanted, lambda a, b: F.exp(b) * (b - a))) * temperature**2
+
+
 def argmax(p) -> Column:
     """From 0; the first of equals."""
     return F.array_position(col(p), F.array_max(col(p))) - 1

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 PAIR = r"'([^']*)': '([^']*)'"
 
@@ -63,16 +64,48 @@ def tool_names(system: pd.Series) -> pd.Series:
     return system.map(names)
 
 
+@F.pandas_udf(StructType().add("name", StringType()).add("arguments", StringType()))
+def call_literals(said: pd.Series) -> pd.DataFrame:
+    """The name and arguments (JSON, or the text that stands there) of a call that is written as a literal of strings
+    in either quotes, numbers, lists and maps; nulls for a torn one or other than a map with a name."""
+
+    def call(text):
+        try:
+            made = ast.literal_eval(text.strip())
+            arguments = made.get("arguments")
+            as_text = arguments if arguments is None or isinstance(arguments, str) else json.dumps(arguments, ensure_ascii=False)
+            return (made["name"], as_text) if isinstance(made["name"], str) else (None, None)
+        except (ValueError, SyntaxError, KeyError, TypeError, AttributeError, RecursionError, MemoryError):
+            return None, None
+
+    return pd.DataFrame([call(t) for t in said], columns=["name", "arguments"])
+
+
+CALL, ENDS = "<functioncall>", r"<\|endoftext\|>|\n\n"
+
+
+def first_turns(chat: Column) -> tuple[Column, Column]:
+    """What the first user turn asks, and what stands from there to the end of the assistant's answer: null where
+    either isn't there or the answer has no end."""
+    at = F.instr(chat, "USER:")
+    turns = F.split(F.substring(chat, at + 5, F.length(chat)), r"\n+ASSISTANT:", 2)
+    answer = F.split(F.regexp_replace(F.get(turns, F.lit(1)), r"^\s+", ""), ENDS, 2)
+    whole = (at > 0) & (F.size(turns) == 2) & (F.size(answer) == 2)
+    return F.when(whole, F.regexp_replace(F.get(turns, F.lit(0)), r"^\s+", "")), F.when(whole, F.get(answer, F.lit(0)))
+
+
 def tool_calls(df: DataFrame, chat: str, system: str, longest: int = 1800) -> DataFrame:
-    """Rows with the first request (user), the tools on offer (tools) and the tool called (called; null: none fits).
+    """Rows with the first request (user), the tools on offer (tools), the tool called (called; null: none fits) and its
+    arguments.
 
-    Left out are rows without such a pair, of repeated or unreadable tools, of a call to a tool that isn't there, of
-    an answer that neither calls nor declines, and of requests longer than `longest`.
+    Left out are rows without such a pair, of repeated or unreadable tools, of a call that is torn or to a tool that
+    isn't there, of an answer that neither calls nor declines, and of requests longer than `longest`.
     """
-    pair = r"(?s)USER:\s*(.*?)\n+ASSISTANT:\s*(.*?)(?:<\|endoftext\|>|\n\n)"
-    parts = df.withColumns({"user": F.trim(F.regexp_extract(chat, pair, 1)), "_said": F.regexp_extract(chat, pair, 2), "_pair": F.rlike(chat, F.lit(pair))}).where("_pair")
-    parts = parts.withColumns({"tools": tool_names(system), "_calls": F.startswith("_said", F.lit("<functioncall>"))}).where("tools IS NOT NULL AND size(array_distinct(tools)) = size(tools)")
-    called = F.nullif(F.regexp_extract("_said", r"^<functioncall>\s*\{\s*['\"]name['\"]\s*:\s*['\"]([^'\"]*)['\"]", 1), F.lit(""))
-    parts = parts.withColumn("called", called).where(F.length("user") <= longest)
-    fine = F.when(F.col("_calls"), F.array_contains("tools", F.col("called"))).otherwise(F.col("_said").rlike(REFUSAL))
-    return parts.where(F.coalesce(fine, F.lit(False))).drop("_said", "_pair", "_calls")
+    user, said = first_turns(F.col(chat))
+    parts = df.withColumns({"user": user, "_said": said}).where("_said IS NOT NULL").where(F.length("user") <= longest)
+    parts = parts.withColumn("tools", tool_names(system)).where("tools IS NOT NULL AND size(array_distinct(tools)) = size(tools)")
+    calls = F.startswith("_said", F.lit(CALL))
+    parts = parts.withColumn("_call", call_literals(F.when(calls, F.substring("_said", len(CALL) + 1, 1 << 30)).otherwise("")))
+    parts = parts.withColumns({"user": F.trim("user"), "called": F.when(calls, F.col("_call.name")), "arguments": F.when(calls, F.col("_call.arguments"))})
+    fine = F.when(calls, F.array_contains("tools", F.col("called"))).otherwise(F.col("_said").rlike(REFUSAL))
+    return parts.where(F.coalesce(fine, F.lit(False))).drop("_said", "_call")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +121,14 @@ def grace_deadlines(df: DataFrame, key: str, date: str, graces: list[int]) -> Da
 def length_scores(prompts: list[str], counts: list[int]) -> list[list[float]]:
     """A batch scorer for tests."""
     return [[float(len(p) % (i + 2)) for i in range(n)] for p, n in zip(prompts, counts)]
+
+
+def letter_counts(state: str) -> tuple[int, Counter]:
+    """A state prepared for questions about its letters."""
+    return len(state), Counter(state)
+
+
+def share_logits(prepared: tuple[int, Counter], questions: list[str], counts: list[int]) -> list[list[float]]:
+    """For each option of a question, how often it stands in the state for each of its letters."""
+    size, found = prepared
+    return [[found[k] / (1 + size) for k in q.split(" ")] for q in questions]

@@ -1,4 +1,4 @@
-"""Sinks beside Parquet: results that are appended to, CSV, lines by suffix, status rows and Markdown tables."""
+"""Sinks beside Parquet: results that are appended to, CSV, lines by suffix and Markdown tables."""
 
 from __future__ import annotations
 
@@ -6,17 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_results(planned: DataFrame, path: str, key: str, solve) -> DataFrame:
-    """Appends solve(pending rows) to the results under a path, and gives all results, the last of a key each.
+def append_results(planned: DataFrame, path: str, key: str, solve, done=None) -> DataFrame:
+    """Appends solve(pending rows) to the results under a path, and gives all results, the last attempt of a key each.
 
-    Pending are planned rows without a result there; so a run that was stopped goes on where it ended.
+    Results have the number of their attempt (`attempt`, from 1). Pending are planned rows of which the last attempt
+    isn't there or, where `done` says which results are fine, isn't fine; so a run that was stopped goes on where it
+    ended, and what failed is asked for again. Of results of one key and attempt the greatest counts.
     """
     spark = planned.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    todo = planned.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if there else planned
-    solve(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path).dropDuplicates([key])
+    todo, attempt = planned, 1
+    if there:
+        last = last_attempts(spark.read.parquet(path), key)
+        fine = last if done is None else last.where(done)
+        todo = planned.join(fine.select(key), key, "left_anti")
+        attempt += spark.read.parquet(path).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
+    solve(todo).withColumn("attempt", F.lit(attempt).cast("long")).write.mode("append").parquet(path)
+    return last_attempts(spark.read.parquet(path), key)
+
+
+def last_attempts(results: DataFrame, key: str) -> DataFrame:
+    """The last attempt of each key."""
+    rest = [c for c in results.columns if c not in (key, "attempt")]
+    last = results.groupBy(key).agg(F.max(F.struct("attempt", *rest)).alias("_r"))
+    return last.select(key, *(F.col("_r")[c].alias(c) for c in [*rest, "attempt"]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -32,17 +46,6 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.option("compression", "gzip" if path.rstrip("/").endswith(".gz") else "none").mode("errorifexists").json(path)
 
 
-def replace_status(df: DataFrame, path: str) -> None:
-    """A small table as JSON in place of what was there: written beside it, then renamed."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = hadoop(path + ".new"), hadoop(path)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.coalesce(1).write.mode("overwrite").json(path + ".new")
-    fs.delete(old, True)
-    fs.rename(new, old)
-
-
 def markdown(df: DataFrame, order: list[str]) -> DataFrame:
     """A report's rows as Markdown lines with their number, the header first; for results of few rows."""
     line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -6,12 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..operators import adapters as A
 from ..operators import selection as S
 from ..operators import sinks
-from ..operators.manifest import write_splits
+from ..operators.manifest import changed_files, counts, file_manifest, write_splits
 from ..sources import readers
-from ..sources.session import Workspace, table
+from ..sources.scan import QuotaScan, files_of
+from ..sources.session import Workspace, replace_file, table
 from .registry import query
 from .select import bucket, seeded
 
@@ -101,6 +103,63 @@ def chat_tool_calls(spark, d):
     return A.tool_calls(rows, "chat", "system").select("p_partkey", "user", F.array_join("tools", ",").alias("tools"), "called")
 
 
+@query("""SELECT p_partkey, 'Find ' || p_name AS user, CASE p_size % 5 WHEN 3 THEN NULL ELSE 'order' END AS called,
+CASE p_size % 5 WHEN 0 THEN '{"n": 1}' WHEN 2 THEN '{"n": [1, "it''s é"], "m": null}' END AS arguments FROM part WHERE p_size % 5 IN (0, 2, 3)""")
+def call_arguments(spark, d):
+    """Calls as literals in either quotes, with their arguments; torn ones and ones to tools that aren't there go."""
+    answers = [
+        "<functioncall> {'name': 'order', 'arguments': '{\"n\": 1}'} ",
+        "<functioncall> {'name': 'order', 'arg",
+        "<functioncall> {\"name\": 'order', \"arguments\": {\"n\": [1, 'it\\'s é'], 'm': None}}",
+        "I do not have the capability to find it.",
+        "<functioncall> {'name': 'sell', 'arguments': {}}",
+    ]
+    said = F.get(F.array(*map(F.lit, answers)), F.col("p_size") % 5)
+    chat = F.concat(F.lit("USER: Find "), "p_name", F.lit("\n\nASSISTANT: "), said, F.lit("<|endoftext|>"))
+    rows = table(spark, d, "part").select("p_partkey", chat.alias("chat"), F.lit('Tool: {"name": "order"}').alias("system"))
+    return A.tool_calls(rows, "chat", "system").select("p_partkey", "user", "called", "arguments")
+
+
+@query(f"""WITH s AS (SELECT *, CASE WHEN length(text) < 300 THEN 'short' WHEN lang = 'es' THEN 'language' ELSE 'kept' END AS reason,
+    CASE WHEN {bucket("'doc|' || doc_id")} < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents)
+SELECT 'rows' AS kind, split AS name, count(*) AS n FROM s WHERE reason = 'kept' GROUP BY split UNION ALL
+SELECT 'reason', reason, count(*) FROM s GROUP BY reason UNION ALL SELECT 'test', 'changed', 1""")
+def file_manifest_checks(spark, d):
+    """Splits written as files; a manifest of rows and SHA-256 by file, and of rows by reason; then one file of a split
+    is written over, and the files that don't agree with the manifest are named by their split."""
+    path, work = f"{Workspace(spark).dir}/splits", Workspace(spark)
+    reason = S.first_reason([("short", F.length("text") < 300), ("language", F.col("lang") == "es")])
+    place = K.bucket(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")))
+    rows = table(spark, d, "documents").select("doc_id", "text", reason.alias("reason"), F.when(place < 0.8, "train").otherwise("test").alias("split"))
+    write_splits(rows.where("reason = 'kept'").drop("reason"), path, "split", 1)
+    manifest = work.write(file_manifest(spark.read.schema("doc_id long").json(path), path), "manifest")
+    split = F.regexp_extract("file", "split=([^/]*)/", 1)
+    counted = manifest.where("rows > 0").groupBy(split.alias("name")).agg(F.sum("rows").alias("n")).select(F.lit("rows").alias("kind"), "name", "n")
+    reasons = counts(rows, ["reason"]).select("kind", F.col("value").alias("name"), "n")
+    one = manifest.where(split == "test").where("file LIKE '%.json'").agg(F.min("file")).first()[0]
+    spark.range(1).select(F.lit("{}").alias("value")).coalesce(1).write.text(f"{path}-other")
+    other = [f for f in files_of(spark, f"{path}-other")][0]
+    replace_file(spark, f"{path}-other/{other}", f"{path}/{one}")
+    changed = changed_files(spark, path, manifest).groupBy(split.alias("kind"), F.col("kind").alias("name")).agg(F.count("*").alias("n"))
+    return counted.unionByName(reasons).unionByName(changed)
+
+
+SCANNED = "sha256('9|part=' || part)"
+
+
+@query(f"""WITH f AS (SELECT part, row_number() OVER (ORDER BY {SCANNED}) - 1 AS file_no FROM (SELECT DISTINCT doc_id % 16 AS part FROM documents)),
+r AS (SELECT doc_id, lang, file_no, row_number() OVER (PARTITION BY lang ORDER BY file_no, doc_id) AS place FROM documents JOIN f ON doc_id % 16 = part WHERE lang IN ('de', 'en', 'fr')),
+last AS (SELECT max(file_no) + 1 AS n FROM r WHERE place = 30)
+SELECT doc_id, lang, CAST(file_no AS INTEGER) AS file_no, CAST((SELECT min(m) FROM (VALUES (1), (3), (7), (15), (16)) AS t(m) WHERE m >= n) AS INTEGER) AS files_read FROM r, last WHERE place <= 30""")
+def quota_scan_early_stop(spark, d):
+    """Thirty documents of each of three languages from the first files in hashed order; the rest is never opened."""
+    path = f"{Workspace(spark).dir}/files"
+    rows = table(spark, d, "documents").select("doc_id", "lang", (F.col("doc_id") % 16).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").parquet(path)
+    scan = QuotaScan(spark, path, "doc_id long, lang string", "lang", {k: 30 for k in ("de", "en", "fr")}, 9, name=lambda f: f.split("/")[0])
+    return scan.rows().select("doc_id", "lang", "file_no", F.lit(len(scan.files)).alias("files_read"))
+
+
 @query("SELECT user_id, CASE WHEN count(*) > 8 THEN 'questions' WHEN sum(strlen(props)) > 300 THEN 'size' WHEN user_id % 10 = 0 THEN 'model' ELSE 'ok' END AS reason FROM events GROUP BY user_id")
 def request_guards(spark, d):
     """Requests of one to eight questions, of a greatest size in bytes and to a model that is there."""
@@ -113,8 +172,6 @@ def request_guards(spark, d):
 FROM (SELECT *, CASE WHEN {bucket("'part|' || p_partkey")} < 0.8 THEN 'train' ELSE 'test' END AS split FROM part) GROUP BY split""")
 def split_checksums(spark, d):
     """Splits written as files, read back, with counts and checksums that don't depend on the order of rows."""
-    from ..functions import keys as K
-
     place = K.bucket(F.concat(F.lit("part|"), F.col("p_partkey").cast("string")))
     rows = table(spark, d, "part").select("p_partkey", "p_name", F.when(place < 0.8, "train").otherwise("test").alias("split"))
     path = f"{Workspace(spark).dir}/splits"

@@ -8,6 +8,7 @@ from ..functions import keys as K
 from ..operators import generators as G
 from ..operators.batches import token_budget
 from ..operators.manifest import counts, fingerprint
+from ..operators.scoring import answered
 from ..sources.session import table
 from .registry import query
 from .select import bucket
@@ -92,6 +93,18 @@ def token_budget_batches(spark, d):
     return token_budget(rows, "source", "doc_id", "length", 8192)
 
 
+@query("""WITH q(name, keys) AS (VALUES ('letter', ['e', 'a', 'z']), ('mark', ['.', '?'])),
+z AS (SELECT doc_id, name, keys, list_transform(keys, lambda k: CAST(len(string_split(coalesce(text, ''), k)) - 1 AS DOUBLE) / (1 + length(coalesce(text, '')))) AS raw FROM documents, q)
+SELECT doc_id, name, keys[list_position(raw, list_max(raw))] AS choice, round(1 / list_sum(list_transform(raw, lambda x: exp(x - list_max(raw)))), 6) AS confidence, len(raw) AS n FROM z""")
+def answers_by_state(spark, d):
+    """Two questions with three and two options on each document, which is prepared once for both."""
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, k)).alias("keys")) for n, k in (("letter", ("e", "a", "z")), ("mark", (".", "?"))))))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.coalesce("text", F.lit("")).alias("state"), asked.alias("q"))
+    rows = rows.select("request_id", "state", "q.name", F.array_join("q.keys", " ").alias("question"), "q.keys")
+    got = answered(rows, G.letter_counts, G.share_logits)
+    return got.select(F.col("request_id").alias("doc_id"), "name", "choice", F.round("confidence", 6).alias("confidence"), F.size("raw").cast("long").alias("n"))
+
+
 @query()
 def scored_requests(spark, d):
     """Prompts through the pluggable batch scorer (rows only: a Python function)."""

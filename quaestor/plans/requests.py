@@ -125,6 +125,20 @@ def anchored_objective(spark, d):
     return base(spark, d).select("vec_id", r6(weight * V.nll("p", "t") + 0.1 * V.brier("q", "t"), "loss"))
 
 
+KL = "4 * list_sum(list_transform(range(1, 6), lambda i: q[6 - i] * (ln(q[6 - i]) - ln(q[i]))))"
+
+
+@query(BASE + f""" SELECT vec_id, round(CASE src WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END * {NLL.format(p='p')}
+    + 0.5 * CASE WHEN src IN (2, 3, 4) THEN 0.25 ELSE 1 END * {KL}, 6) AS loss FROM v""")
+def kl_anchored_objective(spark, d):
+    """The family's weight on the loss, and half the anchor: the divergence from a teacher at temperature 2, with a
+    weight of its own. The teacher's logits are those of the options in reversed order."""
+    weight = F.when(F.col("src") == 0, 4.0).when(F.col("src") == 1, 3.0).otherwise(1.0)
+    anchor = F.when(F.col("src").isin(2, 3, 4), 0.25).otherwise(1.0)
+    rows = base(spark, d).withColumn("teacher", F.reverse("z"))
+    return rows.select("vec_id", r6(weight * V.nll("p", "t") + 0.5 * anchor * V.teacher_kl("z", "teacher"), "loss"))
+
+
 @query("SELECT user_id, event_id, best FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events WHERE event_type <> 'click') WHERE best IS NULL OR value < best")
 def improving_steps(spark, d):
     """Eligible steps that are strictly better than all before; a first step counts."""

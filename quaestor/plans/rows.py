@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import sinks
+from ..operators import prompts as P
+from ..operators import sinks, versions
 from ..sources.session import Workspace, table
 from .registry import query
 from .select import norm
@@ -33,6 +34,45 @@ def structured_state_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))).alias("state"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN sha256('{"k": 1') WHEN event_id % 5 = 1 THEN sha256('{"a":1,"b":[2,"x"]}') ELSE sha256('{"k":' || substr(props, 7)) END AS state_key FROM events""")
+def json_state_keys(spark, d):
+    """Keys of JSON states by their canonical form; a torn state's is that of its text."""
+    kind = F.col("event_id") % 5
+    state = F.when(kind == 0, '{"k":  1').when((kind == 1) & (F.col("event_id") % 2 == 0), '{"b": [2, "x"], "a": 1}').when(kind == 1, '{"a":1,"b":[2,"x"]}').otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", K.state_key(state, F.lit("json")).alias("state_key"))
+
+
+SHOWN = """'{' || chr(10) || '  "order": {' || chr(10) || '    "key": ' || o_orderkey || ',' || chr(10) || '    "status": "' || o_orderstatus || ' \\" é"' || chr(10)
+|| '  },' || chr(10) || '  "tags": [' || chr(10) || '    "' || o_orderpriority || '",' || chr(10) || '    1.5,' || chr(10) || '    [],' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  "none": {}' || chr(10) || '}'"""
+LISTED = "o_orderstatus || chr(10) || chr(10) || o_orderpriority"
+
+
+def _states(spark, d):
+    """Nested JSON, a list of strings and a JSON string, with blanks as they come."""
+    nested = F.concat(F.lit('{"order":{"key":'), F.col("o_orderkey").cast("string"), F.lit(', "status" : "'), "o_orderstatus", F.lit(' \\" \\u00e9"}, "tags":["'), "o_orderpriority", F.lit('",1.5,[ ],null],"none":{ }}'))
+    listed = F.concat(F.lit('["'), "o_orderstatus", F.lit('", "'), "o_orderpriority", F.lit('"]'))
+    state = F.when(F.col("o_orderkey") % 3 == 0, nested).when(F.col("o_orderkey") % 3 == 1, listed).otherwise(F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    return table(spark, d, "orders").withColumn("state", P.state_text(state))
+
+
+TEXT = f"CASE o_orderkey % 3 WHEN 0 THEN {SHOWN} WHEN 1 THEN {LISTED} ELSE o_orderstatus END"
+
+
+@query(f"SELECT o_orderkey, {TEXT} AS state FROM orders")
+def indented_states(spark, d):
+    """JSON states as prompts show them: indented by two spaces, lists of strings as paragraphs."""
+    return _states(spark, d).select("o_orderkey", "state")
+
+
+@query(f"""SELECT o_orderkey, '<state>' || chr(10) || {TEXT} || chr(10) || '</state>' || chr(10) || chr(10) || 'Question: How urgent?' || chr(10) || 'Options:' || chr(10)
+|| 'A: low: can wait' || chr(10) || 'B: ' || o_orderpriority || ': ' || o_orderpriority || chr(10) || 'Answer with the label of the best option (A-B).' AS prompt FROM orders""")
+def prompts_of_states(spark, d):
+    """Prompts over JSON states; an option without a description keeps its place."""
+    option = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("desc"))
+    options = F.array(option(F.lit("low"), F.lit("can wait")), option(F.col("o_orderpriority"), F.lit(None)))
+    return _states(spark, d).select("o_orderkey", P.user_prompt(F.lit("choice"), F.col("state"), F.lit("How urgent?"), options).alias("prompt"))
+
+
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'exact' WHEN 'de' THEN 'substitute' WHEN 'fr' THEN 'complement' ELSE 'irrelevant' END AS gold, source AS grp, [CAST(doc_id AS VARCHAR), source] AS identities FROM documents")
 def candidate_mapping(spark, d):
     """Source labels by a mapping to options, with the group and the identities of a row."""
@@ -149,7 +189,17 @@ def resumed_results(spark, d):
     planned, path = table(spark, d, "customer").select("c_custkey", "c_name"), f"{Workspace(spark).dir}/results"
     solve = lambda rows: rows.select("c_custkey", F.length("c_name").cast("long").alias("result"))
     sinks.append_results(planned.where("c_custkey % 3 = 0"), path, "c_custkey", solve)
-    return sinks.append_results(planned, path, "c_custkey", solve)
+    return sinks.append_results(planned, path, "c_custkey", solve).drop("attempt")
+
+
+@query("SELECT c_custkey, 200 AS status, CAST(CASE WHEN c_custkey % 3 <> 0 THEN 2 WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempt FROM customer")
+def retried_results(spark, d):
+    """Two runs: the second asks for what the first left and for what failed there, and its answers win."""
+    planned, path = table(spark, d, "customer").select("c_custkey"), f"{Workspace(spark).dir}/results"
+    fine = F.col("status") == 200
+    flaky = lambda rows: rows.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, 500).otherwise(200).alias("status"))
+    sinks.append_results(planned.where("c_custkey % 3 = 0"), path, "c_custkey", flaky, fine)
+    return sinks.append_results(planned, path, "c_custkey", lambda rows: rows.select("c_custkey", F.lit(200).alias("status")), fine)
 
 
 @query("SELECT 0 AS n, '| r_regionkey | r_name |' AS line UNION ALL SELECT 1, '|-|-|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")
@@ -157,10 +207,13 @@ def markdown_report(spark, d):
     return sinks.markdown(table(spark, d, "region").select("r_regionkey", "r_name"), ["r_regionkey"])
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n, CAST(2 AS BIGINT) AS versions FROM orders GROUP BY o_orderstatus")
 def replaced_status(spark, d):
-    """A status that is written twice holds what came last."""
-    path = f"{Workspace(spark).dir}/status"
-    sinks.replace_status(spark.range(1).select(F.lit(0).cast("long").alias("n")), path)
-    sinks.replace_status(table(spark, d, "orders").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("n long").json(path)
+    """A status by order state, replaced twice, then written once more without its mark: readers see the second."""
+    path, orders = f"{Workspace(spark).dir}/status", table(spark, d, "orders")
+    by = lambda rows: rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    versions.replace(by(orders.where("o_orderkey % 2 = 0")), path)
+    versions.replace(by(orders), path)
+    versions.write_version(by(orders.where("o_orderkey % 3 = 0")), path)
+    seen = F.lit(len(versions.versions(spark, path))).cast("long")
+    return versions.read(spark, path, "o_orderstatus string, n long").withColumn("versions", seen)

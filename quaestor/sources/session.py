@@ -44,3 +44,10 @@ class Workspace:
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._quaestor_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a file over another."""
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    store = lambda p: place(p).getFileSystem(conf)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store(source), place(source), store(target), place(target), False, True, conf)
