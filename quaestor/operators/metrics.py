@@ -76,16 +76,25 @@ def macro_f1(df: DataFrame, gold: str, said: str, by: Sequence[str] = ()) -> Dat
     return per.groupBy(*by).agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"), F.count("*").alias("classes"))
 
 
+LISTED = 1_000_000  # values that are listed by stratum and sent to all tasks, at most
+
+
 def bootstrap_interval(df: DataFrame, stratum: str, row: str, value: str, draws: int, seed) -> DataFrame:
     """The mean and the 95 % interval of means of stratified resamples.
 
     Draw j takes for each row of a stratum the row at a place that a hash of draw and row gives, so both engines
-    draw alike. Places are ranks within strata.
+    draw alike. Places are ranks within strata. Up to LISTED values, each task has the strata's lists and looks places
+    up; beyond that, draws and values meet by a join.
     """
     w = Window.partitionBy(stratum)
     ranked = df.select(stratum, row, value, (F.row_number().over(w.orderBy(row)) - 1).alias("at"), F.count("*").over(w).alias("m"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("j").cast("string"), F.col(row).cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = ranked.select(stratum, "m", row, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")).select(stratum, "j", (hashed % F.col("m")).alias("at"))
-    means = drawn.join(ranked.select(stratum, "at", value), [stratum, "at"]).groupBy("j").agg(F.avg(value).alias("mean"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")
+    if df.count() <= LISTED:
+        lists = ranked.groupBy(stratum).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias("values"))
+        drawn = ranked.join(F.broadcast(lists), stratum).select(row, "m", "values", each).select("j", F.get("values", (hashed % F.col("m")).cast("int")).alias(value))
+    else:
+        drawn = ranked.select(stratum, "m", row, each).select(stratum, "j", (hashed % F.col("m")).alias("at")).join(ranked.select(stratum, "at", value), [stratum, "at"])
+    means = drawn.groupBy("j").agg(F.avg(value).alias("mean"))
     ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return df.agg(F.avg(value).alias("delta")).crossJoin(ends)

@@ -104,6 +104,19 @@ def compression_gates(spark, d):
     return got.select((F.col("drop") <= 0.005).alias("accuracy_ok"), (F.col("nll") <= 0.02).alias("nll_ok"))
 
 
+ECE = """e{0} AS (SELECT src, sum(n * abs(conf - acc)) / sum(n) AS e FROM (SELECT src, ceil(list_max({0}) * 10) - 1 AS bin, count(*) AS n, avg(list_max({0})) AS conf,
+    avg(CASE WHEN {1} = gold THEN 1.0 ELSE 0.0 END) AS acc FROM v GROUP BY ALL) GROUP BY src)"""
+
+
+@query(BASE + f", {ECE.format('p', ARGMAX.format(p='p'))}, {ECE.format('q', ARGMAX.format(p='q'))} SELECT src, round(eq.e - ep.e, 6) AS rise, round(eq.e - ep.e, 6) <= 0.01 AS ece_ok FROM ep JOIN eq USING (src)")
+def calibration_gate(spark, d):
+    """The calibration error of the compressed scorer may pass that of the whole one by 0.01, in each source."""
+    rows = base(spark, d)
+    whole, small = M.calibration_error(rows, ["src"]), M.calibration_error(rows, ["src"], p="q").withColumnRenamed("ece", "small")
+    rise = r6(F.col("small") - F.col("ece"), "rise")
+    return whole.join(small, "src").select("src", rise).withColumn("ece_ok", F.col("rise") <= 0.01)
+
+
 @query(BASE + f", a AS (SELECT src, avg(CASE WHEN vec_id % 5 = gold THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN {ARGMAX.format(p='p')} = gold THEN 1.0 ELSE 0.0 END) AS delta FROM v GROUP BY src) SELECT src, round(100 * delta, 4) AS points FROM a WHERE delta < -0.005 ORDER BY delta, src LIMIT 5")
 def deficits_in_points(spark, d):
     """The largest deficits of a guess by id against the scorer, of more than half a point."""

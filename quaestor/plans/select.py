@@ -9,8 +9,9 @@ from ..functions import keys as K
 from ..operators import selection as S
 from ..operators.components import component_labels
 from ..operators.greedy import first_without_shared_keys
+from ..operators.ledger import Ledger
 from ..operators.ordered import least_before
-from ..sources.session import table
+from ..sources.session import Workspace, table
 from .registry import query
 
 #: SQL twins of the key functions.
@@ -171,6 +172,20 @@ def reuse_predictions(spark, d):
     return e.join(first, ["user_id", "payload"]).where("reused < event_id").select("event_id", "reused")
 
 
+@query(f"""WITH b AS (SELECT DISTINCT unnest({ATOMS}) AS k FROM benchmark), c AS (SELECT DISTINCT sha256({norm('text')}) AS k FROM conversations),
+w AS (SELECT k FROM b UNION SELECT k FROM c), x AS (SELECT doc_id, unnest(list_append({ATOMS}, sha256({norm('text')}))) AS k FROM documents)
+SELECT doc_id, (SELECT count(*) FROM b) AS first, (SELECT count(*) FROM c WHERE k NOT IN (SELECT k FROM b)) AS second, CAST(0 AS BIGINT) AS third
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE k IN (SELECT k FROM w))""")
+def key_ledger(spark, d):
+    """A ledger that is appended to three times, the last time with keys that it has; documents without its keys."""
+    ledger = Ledger(spark, f"{Workspace(spark).dir}/ledger", 8)
+    atoms = table(spark, d, "benchmark").select(F.explode(K.content_atoms("text")).alias("key"))
+    whole = table(spark, d, "conversations").select(K.state_key("text").alias("key"))
+    added = [ledger.append(atoms, "benchmark"), ledger.append(whole, "conversations"), ledger.append(atoms.unionByName(whole), "both")]
+    docs = table(spark, d, "documents").select("doc_id", F.concat(K.content_atoms("text"), F.array(K.state_key("text"))).alias("ks"))
+    return ledger.exclude(docs, "doc_id", F.col("ks")).select("doc_id", *(F.lit(n).cast("long").alias(c) for c, n in zip(("first", "second", "third"), added)))
+
+
 @query("SELECT c.c_custkey, count(o.o_orderkey) AS processed, count(o.o_orderkey) = 0 AS pending FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey")
 def pending_requests(spark, d):
     done = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
@@ -376,6 +391,21 @@ def component_split_isolation(spark, d):
     return _text_components(spark, d).select("doc_id", split.alias("split"))
 
 
+@query(f"""WITH {LINKS}, g AS (SELECT DISTINCT r.label FROM r JOIN documents d ON d.doc_id = r.node
+    WHERE sha256({norm('text')}) IN (SELECT sha256({norm('text')}) FROM documents WHERE source = 'src1' AND lang = 'en'))
+SELECT node AS doc_id, label IN (SELECT label FROM g) AS forced, CASE WHEN label IN (SELECT label FROM g) OR {bucket('CAST(label AS VARCHAR)')} < 0.76 THEN 'train'
+    WHEN {bucket('CAST(label AS VARCHAR)')} < 0.84 THEN 'val' WHEN {bucket('CAST(label AS VARCHAR)')} < 0.92 THEN 'calibration' ELSE 'test' END AS split FROM r""")
+def component_split_forced_train(spark, d):
+    """Splits by component; one member whose text was trained on before puts its whole component into training."""
+    docs = table(spark, d, "documents").select("doc_id", K.state_key("text").alias("k"), ((F.col("source") == "src1") & (F.col("lang") == "en")).alias("old"))
+    legacy = docs.where("old").select("k").distinct()
+    found = _text_components(spark, d)
+    forced = docs.join(legacy, "k", "left_semi").join(found, "doc_id").select("component").distinct().withColumn("forced", F.lit(True))
+    split = S.split_by(K.bucket(F.col("component").cast("string")), [(0.76, "train"), (0.84, "val"), (0.92, "calibration")], "test")
+    rows = found.join(forced, "component", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+    return rows.select("doc_id", "forced", F.when(F.col("forced"), "train").otherwise(split).alias("split"))
+
+
 @query(f"WITH {LINKS} SELECT doc_id FROM (SELECT node AS doc_id, row_number() OVER (PARTITION BY label ORDER BY {seeded(1, 'node')}, node) AS r FROM r) WHERE r = 1 ORDER BY {seeded(1, 'doc_id')}, doc_id LIMIT 60")
 def disjoint_holdout_by_component(spark, d):
     one = S.first_by(_text_components(spark, d), ["component"], [K.seeded(1, "doc_id"), "doc_id"])

@@ -91,3 +91,32 @@ def test_scans_along_one_log(spark):
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
     assert sorted((r["position"], r["k"]) for r in numbered(df, ["k"]).collect()) == [(i, i) for i in range(2000)]
     assert least_before(df.limit(0), "v", ["k"]).count() == 0
+
+
+def test_a_ledger_that_is_not_shuffled(spark, tmp_path):
+    from quaestor.operators.ledger import Ledger
+
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "key string")
+    ledger = Ledger(spark, str(tmp_path / "ledger"), 4)
+    assert [ledger.append(keys("a", "b", "a", None), "x"), ledger.append(keys("b", "c"), "y"), ledger.append(keys("c"), "z")] == [2, 1, 0]
+    again = Ledger(spark, str(tmp_path / "ledger"), 4)
+    assert {r["key"]: r["source"] for r in again.keys().collect()} == {"a": "x", "b": "x", "c": "y"}
+    rows = spark.createDataFrame([(1, ["q", "a"]), (2, ["q"]), (3, []), (4, None), (2, ["c"]), (None, ["b"]), (5, [None])], "id long, ks array<string>")
+    out = again.exclude(rows, "id", F.col("ks"))
+    assert sorted(r["id"] for r in out.collect()) == [3, 4, 5]
+    hit = rows.select(F.explode("ks").alias("key")).join(again.keys().hint("merge"), "key", "left_semi")
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("Bucketed: true")].splitlines()
+    side = len(scan) - next(i for i, line in enumerate(reversed(scan)) if "Sort" in line or "Join" in line) - 1
+    assert "SortMergeJoin" in plan and not any("Exchange" in line for line in scan[side:])
+    assert plan.count("Exchange") == 1
+
+
+def test_bootstrap_by_lists_is_that_by_a_join(spark, monkeypatch):
+    from quaestor.operators import metrics
+
+    df = spark.createDataFrame([(i % 3, i, (i * 37 % 11) / 7) for i in range(90)], "s long, i long, y double")
+    one = metrics.bootstrap_interval(df, "s", "i", "y", 200, 3).first()
+    monkeypatch.setattr(metrics, "LISTED", 5)
+    two = metrics.bootstrap_interval(df, "s", "i", "y", 200, 3).first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(one, two)) and one["low"] < one["delta"] < one["high"]
