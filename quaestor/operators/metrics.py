@@ -92,7 +92,11 @@ def bootstrap_interval(df: DataFrame, stratum: str, row: str, value: str, draws:
     each = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")
     if df.count() <= LISTED:
         lists = ranked.groupBy(stratum).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias("values"))
-        drawn = ranked.join(F.broadcast(lists), stratum).select(row, "m", "values", each).select("j", F.get("values", (hashed % F.col("m")).cast("int")).alias(value))
+        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+        some = -(-draws // (4 * tasks))  # draws that a row makes in one go
+        dealt = ranked.select(stratum, "m", row, F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(some))).alias("lo")).repartition(tasks, "lo", row)
+        each = F.explode(F.sequence("lo", F.least(F.col("lo") + some, F.lit(draws)) - 1)).alias("j")
+        drawn = dealt.join(F.broadcast(lists), stratum).select(row, "m", "values", each).select("j", F.get("values", (hashed % F.col("m")).cast("int")).alias(value))
     else:
         drawn = ranked.select(stratum, "m", row, each).select(stratum, "j", (hashed % F.col("m")).alias("at")).join(ranked.select(stratum, "at", value), [stratum, "at"])
     means = drawn.groupBy("j").agg(F.avg(value).alias("mean"))
