@@ -1,4 +1,5 @@
-"""Near-duplicate join of documents by the Jaccard similarity of their word shingles, exact at any threshold.
+"""Near-duplicate join of documents by the Jaccard similarity of their word shingles, exact at any threshold
+(but for two shingles of one 64-bit hash).
 
 Documents with equal sets form a class. A class's shingles are ordered by how frequent they are (from a bounded
 table of the most frequent ones, which only sets the order) and then by hash. A prefix that is `extra` shingles
