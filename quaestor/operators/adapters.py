@@ -32,6 +32,20 @@ def described(key: Column, description: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(description), F.lit("")), key)
 
 
+def foreign_question(kind: Column, instructions: Column, yes: Column, no: Column) -> Column:
+    """Instructions of a foreign question; what yes and no mean is said after those of a yes/no question that has both."""
+    both = F.concat(instructions, F.lit("\nyes: "), yes, F.lit("\nno: "), no)
+    return F.when(kind == "noul", F.coalesce(both, instructions)).otherwise(instructions)
+
+
+def foreign_target(kind: Column, keys: Column, label: Column) -> Column:
+    """All mass on the label: a choice's key, a score's level as a number, or true and false as yes and no."""
+    chosen = F.transform(keys, lambda k: (k == label).cast("double"))
+    level = F.transform(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == label.try_cast("int")).cast("double"))
+    yes = (F.lower(label) == "true").cast("double")
+    return F.when(kind == "choice", chosen).when(kind == "score", level).otherwise(F.array(1 - yes, yes))
+
+
 def answer_distribution(answer: Column, keys: list[str]) -> Column:
     """A JSON answer's probabilities in the order of the keys: from `probabilities`, else all on `choice`."""
     probability = lambda k: F.coalesce(F.get_json_object(answer, f"$.probabilities.{k}").cast("double"), F.when(F.get_json_object(answer, "$.choice") == k, 1.0).otherwise(0.0))

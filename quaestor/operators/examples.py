@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded
+from ..sources.session import Workspace
+from .ordered import numbered
 
 
 def noul_target(p) -> Column:
@@ -54,31 +58,46 @@ def class_weights(df: DataFrame, family: str, cls: str, cap: float = 3.0) -> Dat
     return counts.withColumn("raw", raw).select(family, cls, (F.col("raw") / mean).alias("weight"))
 
 
-def distractors(rows: DataFrame, catalog: DataFrame, item: str, gold: str, key: str, n: int, seed, most: int = 10_000) -> DataFrame:
-    """For each row n items of the catalog that aren't its own, in an order of the row's own.
+def drawn_numbers(seed, keys: Sequence, wanted: Column, of: Column) -> Column:
+    """`wanted` different numbers below `of` (or all, if fewer), each set as likely as any other, by hashes of the keys.
+
+    Draw i is a number up to i, for i from of - wanted on; where that is taken already, it is i itself.
+    """
+    hashed = lambda i: F.conv(F.substring(seeded(seed, *keys, i), 1, 12), 16, 10).cast("long")
+
+    def draw(taken: Column, i: Column) -> Column:
+        number = hashed(i) % (i + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), i).otherwise(number)))
+
+    first = F.greatest(of - wanted, F.lit(0)).cast("long")
+    return F.aggregate(F.sequence(first, (of - 1).cast("long")), F.array().cast("array<long>"), draw)
+
+
+def distractors(rows: DataFrame, catalog: DataFrame, item: str, gold: str, key: str, n: int, seed) -> DataFrame:
+    """For each row n items of the catalog that aren't its own (all others, if fewer), any n of them as likely as others.
 
-    A catalog of up to `most` distinct items goes along with each row as one sorted array; a larger one as several
-    arrays of about that many, whose first n of each row are put together.
+    Distinct items are numbered in their order. A row draws among the numbers of all items but its own, those from its own
+    on being one higher. Only rows' numbers meet the catalog, by joins, whatever its size. Null items are none; rows whose
+    gold item isn't in the catalog draw among all items, and rows of one key and item draw alike.
     """
-    items = catalog.select(item).where(F.col(item).isNotNull()).distinct()
-    order = lambda o: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), o), 256).alias("h"), o.alias("o"))
-    first = lambda items: F.slice(F.sort_array(F.transform(F.filter(items, lambda o: o != F.col(gold)), order)), 1, n)
+    items = numbered(catalog.select(item).where(F.col(item).isNotNull()).distinct(), [item], "_no")
+    items = Workspace(rows.sparkSession).write(items.select(F.col(item).alias("_item"), "_no"), "catalog")
     several = items.count()
-    if several <= most:
-        ranked = rows.select(key, first(F.array(*(F.lit(r[0]) for r in items.collect()))).alias("x"))
-    else:
-        parts = items.groupBy(F.pmod(F.xxhash64(item), F.lit(-(-several // most))).alias("part")).agg(F.collect_list(item).alias("items"))
-        found = rows.groupBy(key, gold).agg(F.count("*").alias("m")).crossJoin(parts).select(key, gold, "m", first(F.col("items")).alias("x"))
-        found = found.groupBy(key, gold, "m").agg(F.slice(F.sort_array(F.flatten(F.collect_list("x"))), 1, n).alias("x"))
-        ranked = found.select(key, F.explode(F.sequence(F.lit(1).cast("long"), "m")), "x").select(key, "x")
-    return ranked.select(key, F.explode("x").alias("x")).select(key, F.col("x.o").alias(item))
+    if not several:
+        return rows.select(key, F.lit(None).cast(catalog.schema[item].dataType).alias(item)).limit(0)
+    own = rows.select(key, gold).join(items, F.col(gold) == F.col("_item"), "left").select(key, F.coalesce("_no", F.lit(several)).alias("_own"))
+    others = F.when(F.col("_own") < several, several - 1).otherwise(several)
+    numbers = F.transform(drawn_numbers(seed, [key], F.lit(n), others), lambda x: x + (x >= F.col("_own")).cast("long"))
+    each = own.where(others > 0).select(key, F.explode(numbers).alias("_no"))
+    return each.join(items, "_no").select(key, F.col("_item").alias(item))
 
 
 def prefix_states(turns: DataFrame, most: int) -> DataFrame:
-    """The conversation so far at each user turn, up to that many turns."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    said = F.array_join(F.collect_list(F.concat_ws(": ", "role", "text")).over(w), "\n")
-    return turns.select("conv_id", "turn", "role", said.alias("state"), F.count("*").over(w).alias("turns")).where((F.col("role") == "user") & (F.col("turns") <= most))
+    """The conversation so far at each user turn, up to that many turns; later turns are dropped before any is built."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    first = turns.select("conv_id", "turn", "role", "text", F.row_number().over(w).cast("long").alias("turns")).where(F.col("turns") <= most)
+    said = F.array_join(F.collect_list(F.concat_ws(": ", "role", "text")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "\n")
+    return first.select("conv_id", "turn", "role", said.alias("state"), "turns").where(F.col("role") == "user")
 
 
 def labels(n: int = 255) -> Column:

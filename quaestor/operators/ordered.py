@@ -45,3 +45,27 @@ def least_before(df: DataFrame, value: str, order: Sequence, name: str = "best")
     inside = F.min(value).over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     out = rows.withColumn("_inside", inside).join(F.broadcast(lows), "_range")
     return out.withColumn(name, F.least("_before", "_inside")).drop("_range", "_at", "_before", "_inside")
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """group, n and p (an array): exact percentiles of each group, between two values by their distance.
+
+    Values are counted first, and counts are summed along ranges of (group, value), so that no task holds a group: a
+    group's part in a range is a row. Null values don't count; a group without others has none.
+    """
+    counts = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+    rows = ranges(counts, ["_g", "_v"])
+    parts = rows.groupBy("_g", "_range").agg(F.sum("_n").alias("_m"))
+    along = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("_g").alias("_h"), F.col("_range").alias("_s"), F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy("_g")).alias("n"))
+    inside = F.sum("_n").over(Window.partitionBy("_range", "_g").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("_upto", inside).join(starts, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_range") == F.col("_s")))
+    upto, first = F.col("_before") + F.col("_upto"), F.col("_before") + F.col("_upto") - F.col("_n")
+    at = lambda place: F.max(F.when((first <= place) & (place < upto), F.col("_v")))
+    found = []
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("n") - 1)
+        found += [at(F.floor(place)).alias(f"_a{i}"), at(F.ceil(place)).alias(f"_b{i}")]
+    got = placed.groupBy("_g", "n").agg(*found)
+    between = lambda i, share: F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (F.lit(share) * (F.col("n") - 1) - F.floor(F.lit(share) * (F.col("n") - 1)))
+    return got.select(F.col("_g").alias(group), "n", F.array(*(between(i, s) for i, s in enumerate(shares))).alias("p"))

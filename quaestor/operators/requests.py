@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .manifest import fingerprint
 
 
 def asked(requests: DataFrame, request: str, questions: str) -> DataFrame:
@@ -60,3 +61,34 @@ def failure_streaks(rows: DataFrame, group: str, order: str, failed: Column) ->
     w = Window.partitionBy(group).orderBy(order)
     marked = rows.withColumn("_f", failed).withColumn("_island", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w))
     return marked.where("_f").groupBy(group, "_island").agg(F.min(order).alias("first"), F.count("*").alias("length")).drop("_island")
+
+
+def label_audit(rows: DataFrame, native: DataFrame, key: str, label: str, derived: str) -> DataFrame:
+    """Rows whose label isn't the one derived from their source, which is null where the source lacks the row."""
+    found = native.select(F.col(key).alias("_k"), F.col(derived))
+    return rows.select(key, label).join(found, F.col(key) == F.col("_k"), "left").where(~F.col(label).eqNullSafe(F.col(derived))).drop("_k")
+
+
+def reused(rows: DataFrame, earlier: DataFrame, key: str, payload: str, status: str, good: str, value: str) -> DataFrame:
+    """Rows with an earlier run's value. The job fails for a row that the earlier run hasn't, whose payload differs, or
+    whose earlier answer isn't good."""
+    old = earlier.select(F.col(key).alias("_k"), F.col(payload).alias("_p"), F.col(status).alias("_s"), F.col(value).alias("_v"))
+    fault = F.when(F.col("_k").isNull(), "is missing").when(~F.col(payload).eqNullSafe(F.col("_p")), "has another payload").when(~F.col("_s").eqNullSafe(F.lit(good)), "failed")
+    stop = F.raise_error(F.concat(F.lit("earlier result of "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" "), fault))
+    joined = rows.join(old, F.col(key) == F.col("_k"), "left")
+    return joined.withColumn(value, F.when(fault.isNull(), F.col("_v")).otherwise(stop.cast(earlier.schema[value].dataType))).drop("_k", "_p", "_s", "_v")
+
+
+def checked_lookup(rows: DataFrame, found: DataFrame, key: str, value: str, train: DataFrame, said: tuple) -> DataFrame:
+    """Rows with the value of their key, for values made from `train`: refused unless its fingerprint (rows, checksum) is
+    the one that was noted with them. The job fails where a key has no value."""
+    now = tuple(fingerprint(train, train.columns).first())
+    if now != tuple(said):
+        raise ValueError(f"values were made from other rows: {tuple(said)}, now {now}")
+    return total_lookup(rows, found, key, value)
+
+
+def over_capacity(query: Column, state: Column, options: Column, most: tuple[int, int, int]) -> Column:
+    """Which cap a request passes, by characters: its query's, its state's as JSON, or that of all its options together; else ok."""
+    together = F.aggregate(options, F.lit(0), lambda n, o: n + F.coalesce(F.length(o), F.lit(0)))
+    return F.when(F.length(query) > most[0], "query").when(F.length(state) > most[1], "state").when(together > most[2], "options").otherwise("ok")

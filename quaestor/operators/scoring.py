@@ -13,10 +13,12 @@ from ..functions import vectors as V
 from ..functions.keys import col
 
 
-def hashed_logits(key, gold, k: int) -> Column:
-    """A scorer for tests: from hashes of key and option, higher for the gold one."""
-    noise = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (noise(i) - 0.5) * 4 + F.when(i == col(gold), 1.5).otherwise(0.0))
+def vector_logits(vector: str, gold, k: int, scale: float = 3.0) -> Column:
+    """A linear scorer of vectors: option i's logit is the sum of every k-th component from the i-th on, higher for the
+    gold one. Components that are null or not a number count as zero."""
+    said = lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    own = lambda i: F.aggregate(F.filter(col(vector), lambda x, at: at % k == i), F.lit(0.0), lambda a, x: a + said(x))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: own(i) * scale + F.when(i == col(gold), 1.5).otherwise(0.0))
 
 
 def scored(df: DataFrame, prompt: str, n_labels: str, score: Callable[[list[str], list[int]], list[list[float]]], out: str = "logits") -> DataFrame:

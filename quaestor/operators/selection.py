@@ -44,8 +44,17 @@ def hash_limit(df: DataFrame, n: int, seed, *keys: str, within: Sequence[str] =
     return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
+def salted_first(df: DataFrame, within: Sequence[str], order: Sequence, limit: int, keys: Sequence[str], parts: int = 64) -> DataFrame:
+    """Rows among which are the first `limit` of each group, at most parts * limit of a group: a hash of the keys deals each
+    group over parts, and each part keeps its own first ones. No task sorts a whole group."""
+    dealt = df.withColumn("_p", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    rank = F.row_number().over(Window.partitionBy(*within, "_p").orderBy(*order))
+    return dealt.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r", "_p")
+
+
 def round_robin(df: DataFrame, within: Sequence[str], cls: str, limit: int, seed, *keys: str) -> DataFrame:
     """One row of each class in turn until the limit, without replacement."""
+    df = salted_first(df, [*within, cls], [seeded(seed, *keys), *keys], limit, keys)
     turn = F.row_number().over(Window.partitionBy(*within, cls).orderBy(seeded(seed, *keys), *keys))
     # no class can give more than the limit, so the second window meets at most classes * limit rows a group
     ranked = df.withColumn("_turn", turn).where(F.col("_turn") <= limit)
@@ -69,3 +78,16 @@ def first_reason(reasons: Sequence[tuple[str, Column]], kept: str = "kept") -> C
     for name, test in reversed(list(reasons)):
         out = F.when(test, name).otherwise(out)
     return out
+
+
+def cover(df: DataFrame, stratum: str, special: Column, order: Sequence[str], id_col: str, limit: int) -> DataFrame:
+    """The first row of each stratum, one more special row, then the rest in the order, up to the limit.
+
+    Strata that are more than the limit give the first ones in the order. Ids are unique and not null.
+    """
+    place = F.struct(*order, F.col(id_col).alias("_id"))
+    firsts = df.groupBy(stratum).agg(F.min(place).alias("_f")).select("_f._id", F.lit(0).alias("_turn"))
+    others = df.where(special).join(firsts, F.col(id_col) == F.col("_id"), "left_anti")
+    one = others.agg(F.min(place).alias("_f")).where("_f IS NOT NULL").select("_f._id", F.lit(1).alias("_turn"))
+    ranked = df.join(firsts.unionByName(one), F.col(id_col) == F.col("_id"), "left")
+    return ranked.orderBy(F.coalesce("_turn", F.lit(2)), *order).limit(limit).drop("_id", "_turn")

@@ -1,6 +1,6 @@
 """The queries over the driver's tables, by name, and their SQL."""
 
-from . import adapt, builders, construct, files, formats, generate, requests, rows, score, select  # noqa: F401
+from . import adapt, builders, checks, construct, files, formats, generate, requests, rows, score, select  # noqa: F401
 from .construct import flagship
 from .registry import ORACLE_SQL, QUERIES
 

@@ -100,19 +100,26 @@ def soft_label_normalise(spark, d):
     return rows.select("vec_id", F.posexplode("v").alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 5).alias("p"))
 
 
-def _distractors(spark, d, chosen):
+#: Five different numbers below n of each row (all, if n is less): draw i is a number up to i, or i where that is taken.
+DRAWN = "WITH s0 AS (SELECT o_orderkey, gold, n, []::BIGINT[] AS taken FROM g, m), " + ", ".join(
+    f"""s{i + 1} AS (SELECT o_orderkey, gold, n, CASE WHEN i < 0 THEN taken WHEN list_contains(taken, x) THEN list_append(taken, i) ELSE list_append(taken, x) END AS taken
+    FROM (SELECT *, CASE WHEN i >= 0 THEN CAST(('0x' || substr({seeded(4, 'o_orderkey', 'i')}, 1, 12)) AS BIGINT) % (i + 1) END AS x FROM (SELECT *, n - 5 + {i} AS i FROM s{i})))"""
+    for i in range(5)
+)
+
+
+@query(f"""WITH c AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS no FROM (SELECT DISTINCT p_type FROM part)), m AS (SELECT count(*) - 1 AS n FROM c),
+g AS (SELECT l_orderkey AS o_orderkey, min(p_type) AS gold FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+d AS ({DRAWN} SELECT o_orderkey, list_transform(taken, lambda x: CASE WHEN x >= no THEN x + 1 ELSE x END) AS chosen FROM s5 JOIN c ON c.p_type = gold)
+SELECT o_orderkey, p_type FROM (SELECT o_orderkey, unnest(chosen) AS no FROM d) JOIN c USING (no)""")
+def catalog_distractors(spark, d):
+    """Five other types for each order, whose own is the least of all its lines."""
     part = table(spark, d, "part")
-    lines = table(spark, d, "lineitem").where(chosen).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
     rows = lines.join(part.select("p_partkey", "p_type"), "p_partkey").groupBy("o_orderkey").agg(F.min("p_type").alias("gold"))
     return X.distractors(rows, part, "p_type", "gold", "o_orderkey", 5, 4)
 
 
-@query(f"""WITH c AS (SELECT DISTINCT p_type FROM part), o AS (SELECT o_orderkey, min(p_type) AS gold FROM (SELECT l_orderkey AS o_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) GROUP BY o_orderkey),
-r AS (SELECT o_orderkey, p_type, row_number() OVER (PARTITION BY o_orderkey ORDER BY {seeded(4, 'o_orderkey', 'p_type')}, p_type) AS r FROM o, c WHERE p_type <> gold) SELECT o_orderkey, p_type FROM r WHERE r <= 5""")
-def catalog_distractors(spark, d):
-    return _distractors(spark, d, "l_linenumber = 1")
-
-
 @query("SELECT conv_id, turn, sha256(prefix) AS state, turns FROM (SELECT conv_id, turn, role, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turns FROM conversations) WHERE role = 'user' AND turns <= 12")
 def conversation_prefix_states(spark, d):
     return X.prefix_states(table(spark, d, "conversations"), 12).select("conv_id", "turn", F.sha2("state", 256).alias("state"), "turns")

@@ -102,13 +102,25 @@ def content_key_variants(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT true AS unchanged")
+MARK = "CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', {0})), 1, 8)) AS BIGINT)) AS BIGINT)"
+
+
+@query(f"""WITH b AS (SELECT count(*) AS n, {MARK.format('item_id, text')} AS m FROM benchmark), l AS (SELECT count(*) AS n, {MARK.format('doc_id, quality, toxic')} AS m FROM labels),
+z AS (SELECT count(*) AS n, {MARK.format('doc_id, CASE WHEN doc_id % 100 = 7 THEN 1 - quality ELSE quality END, toxic')} AS m FROM labels)
+SELECT 'benchmark' AS name, n, m AS checksum, true AS unchanged FROM b UNION ALL SELECT 'labels', z.n, z.m, z.n = l.n AND z.m = l.m FROM l, z""")
 def protected_table_unchanged(spark, d):
-    """A table's fingerprint before and after its copy is read."""
-    rows = table(spark, d, "benchmark")
-    copy = Workspace(spark).write(rows, "copy")
-    kept, now = fingerprint(rows, rows.columns), fingerprint(copy, rows.columns)
-    return kept.join(now, ["n", "checksum"], "left_semi").agg((F.count("*") == 1).alias("unchanged"))
+    """Protected tables against the fingerprints noted before a job wrote them: one as it was, one with labels turned over."""
+    work, out = Workspace(spark), None
+    turned = F.when(F.col("doc_id") % 100 == 7, 1 - F.col("quality")).otherwise(F.col("quality"))
+    jobs = (("benchmark", ["item_id", "text"], lambda rows: rows), ("labels", ["doc_id", "quality", "toxic"], lambda rows: rows.withColumn("quality", turned)))
+    for name, columns, job in jobs:
+        rows = table(spark, d, name).select(*columns)
+        noted = fingerprint(rows, columns).first()  # one row
+        now = fingerprint(work.write(job(rows), name), columns)
+        same = F.col("n").eqNullSafe(F.lit(noted["n"])) & F.col("checksum").eqNullSafe(F.lit(noted["checksum"]))
+        one = now.select(F.lit(name).alias("name"), "n", "checksum", same.alias("unchanged"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 LEAF = [f"CAST(('0x' || substr(md5('leaf{i}|' || id), 1, 8)) AS BIGINT) AS x{i}" for i in range(5)]

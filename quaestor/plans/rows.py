@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import prompts as P
+from ..operators import selection as S
 from ..operators import sinks, versions
 from ..sources.session import Workspace, table
 from .registry import query
@@ -129,12 +130,15 @@ def first_per_type(spark, d):
     return table(spark, d, "orders").withColumn("r", r).where("r <= 3").select("o_orderpriority", "o_orderkey")
 
 
-@query("WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents) SELECT doc_id, source FROM s ORDER BY first DESC, h, doc_id LIMIT 100")
+@query(f"""WITH s AS (SELECT doc_id, source, lang = 'es' AS structured, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) = 1 AS first, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY first, structured ORDER BY h, doc_id) = 1 AND NOT first AND structured AS second FROM s)
+SELECT doc_id, source, structured FROM t ORDER BY first DESC, second DESC, h, doc_id LIMIT 100""")
 def stratified_cover(spark, d):
-    """One row of each source, then others in hashed order, a hundred in all."""
-    first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) == 1
-    rows = table(spark, d, "documents").select("doc_id", "source", first.alias("first"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    return rows.orderBy(F.desc("first"), "h", "doc_id").limit(100).select("doc_id", "source")
+    """One row of each source, one more with a structured state, then others in hashed order, a hundred in all."""
+    state = F.when(F.col("lang") == "es", F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), F.lit("}"))).otherwise(F.col("text"))
+    structured = F.startswith(state, F.lit("{")) & F.try_parse_json(state).isNotNull()
+    rows = table(spark, d, "documents").select("doc_id", "source", F.coalesce(structured, F.lit(False)).alias("structured"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return S.cover(rows, "source", F.col("structured"), ["h", "doc_id"], "doc_id", 100).select("doc_id", "source", "structured")
 
 
 @query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ',') || '|' || label) AS key FROM embeddings")

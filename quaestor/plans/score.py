@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import scoring as Q
+from ..operators.ordered import percentiles
 from ..sources.session import table
 from .registry import query
 
 K = 5
-#: z: hashed logits of a row; p and q: their softmax at 1 and 2; t: one-hot target; src: a source.
-BASE = """WITH b AS (SELECT vec_id, vec_id % 7 AS src, label % 5 AS gold FROM embeddings),
-o AS (SELECT b.*, k, (CAST(('0x' || substr(md5(vec_id || ':' || k), 1, 8)) AS BIGINT) / 4294967296.0 - 0.5) * 4 + CASE WHEN k = gold THEN 1.5 ELSE 0 END AS z FROM b, range(5) AS r(k)),
+#: z: logits from a row's vector; p and q: their softmax at 1 and 2; t: one-hot target; src: a source.
+BASE = """WITH b AS (SELECT vec_id, vec_id % 7 AS src, label % 5 AS gold, embedding FROM embeddings),
+o AS (SELECT vec_id, src, gold, k, list_sum(list_transform(range(k + 1, len(embedding) + 1, 5), lambda i: CAST(embedding[i] AS DOUBLE))) * 3.0 + CASE WHEN k = gold THEN 1.5 ELSE 0 END AS z FROM b, range(5) AS r(k)),
 l AS (SELECT vec_id, src, gold, list(CAST(z AS DOUBLE) ORDER BY k) AS z, list(CASE WHEN k = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ORDER BY k) AS t FROM o GROUP BY ALL),
 s AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS e, list_transform(z, lambda x: exp((x - list_max(z)) / 2)) AS f FROM l),
 v AS (SELECT vec_id, src, gold, z, t, list_transform(e, lambda x: x / list_sum(e)) AS p, list_transform(f, lambda x: x / list_sum(f)) AS q FROM s)"""
@@ -25,8 +26,8 @@ ARGMAX = "(list_position({p}, list_max({p})) - 1)"
 
 
 def base(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("src"), (F.col("label") % K).alias("gold"))
-    rows = rows.withColumn("z", Q.hashed_logits("vec_id", "gold", K)).withColumn("t", V.one_hot("gold", K))
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("src"), (F.col("label") % K).alias("gold"), "embedding")
+    rows = rows.withColumn("z", Q.vector_logits("embedding", "gold", K)).withColumn("t", V.one_hot("gold", K))
     return rows.withColumns({"p": V.softmax("z"), "q": V.softmax("z", 2.0)})
 
 
@@ -139,8 +140,11 @@ def macro_f1(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS top, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("p")
-    return table(spark, d, "events").groupBy("event_type").agg(p, F.max("value").alias("top"), F.avg("value").alias("mean")).select("event_type", r6(F.col("p")[0], "p50"), r6(F.col("p")[1], "p90"), r6(F.col("p")[2], "p95"), r6("top"), r6("mean"))
+    """Exact percentiles by counts along the values; the rest combines before the shuffle."""
+    rows = table(spark, d, "events")
+    p = percentiles(rows, "event_type", "value", [0.5, 0.9, 0.95]).select(F.col("event_type").alias("g"), "p")
+    rest = rows.groupBy("event_type").agg(F.max("value").alias("top"), F.avg("value").alias("mean"))
+    return rest.join(p, F.col("event_type").eqNullSafe(F.col("g"))).select("event_type", r6(F.col("p")[0], "p50"), r6(F.col("p")[1], "p90"), r6(F.col("p")[2], "p95"), r6("top"), r6("mean"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, max(value) AS need FROM events GROUP BY ALL), x AS (SELECT lim, user_id, need <= lim AS ok FROM r, (VALUES (50), (100), (200), (400)) AS l(lim)), g AS (SELECT lim, user_id, count(*) AS n, count(*) FILTER (WHERE ok) AS fit, bool_and(ok) AS whole FROM x GROUP BY ALL)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..operators import requests as R
 from ..operators import selection as S
 from ..operators.components import component_labels
 from ..operators.greedy import first_without_shared_keys
@@ -139,11 +140,14 @@ def extend_train_antijoin(spark, d):
     return rows.where("b >= 0.2").join(rows.where("b < 0.2").select("k"), "k", "left_anti").select("doc_id")
 
 
-@query("SELECT d.doc_id, d.n_chars, CAST(length(d.text) AS BIGINT) AS found FROM documents d WHERE d.n_chars IS DISTINCT FROM length(d.text) AND d.n_chars > 0")
+@query("""WITH n AS (SELECT l_orderkey, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS native FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, o_orderstatus AS label, native FROM orders LEFT JOIN n ON l_orderkey = o_orderkey WHERE o_orderstatus IS DISTINCT FROM native""")
 def native_label_audit(spark, d):
-    docs = table(spark, d, "documents")
-    native = docs.select("doc_id", F.length("text").cast("long").alias("found"))
-    return docs.select("doc_id", "n_chars").join(native, "doc_id").where(~F.col("n_chars").eqNullSafe(F.col("found")) & (F.col("n_chars") > 0))
+    """Orders whose status isn't what their lines say, or that have no lines."""
+    all_ = lambda v: F.bool_and(F.col("l_linestatus") == v)
+    native = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.when(all_("F"), "F").when(all_("O"), "O").otherwise("P").alias("native"))
+    said = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("label"))
+    return R.label_audit(said, native.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "label", "native")
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'only_labels' ELSE 'only_documents' END AS side FROM documents d FULL JOIN labels l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
@@ -372,12 +376,17 @@ r(node, label) USING KEY (node) AS (SELECT doc_id, doc_id FROM documents UNION S
 
 
 def _text_components(spark, d):
-    """Documents linked by shared sentences, each sentence by a star to its least document."""
-    e = table(spark, d, "documents").select("doc_id", F.explode(K.content_atoms("text")).alias("k"))
-    hub = e.groupBy("k").agg(F.min("doc_id").alias("hub"))
-    edges = e.join(hub, "k").select(F.col("doc_id").alias("src"), F.col("hub").alias("dst")).where("src <> dst")
-    docs = table(spark, d, "documents").select("doc_id")
-    return docs.join(component_labels(edges), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    """Documents linked by shared sentences. Sentences are cut once; each has a star to its least document in each of
+    sixteen parts, and one from those to the least of all, so that no sentence's documents meet in one join key."""
+    docs = table(spark, d, "documents")
+    e = docs.select("doc_id", F.explode(K.content_atoms("text")).alias("k")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    e = Workspace(spark).write(e, "sentences")
+    near = Workspace(spark).write(e.groupBy("k", "part").agg(F.min("doc_id").alias("near"), F.count("*").alias("n")), "near")
+    hub = near.groupBy("k").agg(F.min("near").alias("hub"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    inner = e.join(near.where("n > 1").drop("n"), ["k", "part"]).select(F.col("doc_id").alias("src"), F.col("near").alias("dst"))
+    outer = near.join(hub, "k").select(F.col("near").alias("src"), F.col("hub").alias("dst"))
+    edges = inner.unionByName(outer).where("src <> dst")
+    return docs.select("doc_id").join(component_labels(edges), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
 @query(f"WITH {LINKS} SELECT node AS doc_id, label AS component FROM r")

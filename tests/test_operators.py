@@ -79,11 +79,68 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.pending(df, done, "id", F.col("status") == 200).count() == 19
 
 
-def test_distractors_of_a_large_catalog(spark):
-    rows = spark.createDataFrame([(i, f"c{i % 7}") for i in range(20)] + [(3, "c3"), (4, None)], "id long, gold string")
-    catalog = spark.createDataFrame([(f"c{i % 50}",) for i in range(90)] + [(None,)], "c string")
-    got, want = (sorted(map(tuple, examples.distractors(rows, catalog, "c", "gold", "id", 5, 1, most=m).collect())) for m in (8, 100))
-    assert got == want and len(got) == 5 * 21
+def test_distractors_draw_without_return(spark):
+    rows = spark.createDataFrame([(i, f"c{i % 12}") for i in range(600)] + [(600, None), (601, "not there")], "id long, gold string")
+    catalog = spark.createDataFrame([(f"c{i % 12}",) for i in range(40)] + [(None,)], "c string")
+    got = {}
+    for r in examples.distractors(rows, catalog, "c", "gold", "id", 5, 1).collect():
+        got.setdefault(r["id"], []).append(r["c"])
+    assert len(got) == 602 and all(len(v) == len(set(v)) == 5 for v in got.values())
+    assert all(f"c{i % 12}" not in got[i] for i in range(600))
+    times = [sum(f"c{c}" in v for v in got.values()) for c in range(12)]
+    assert min(times) > 200 and max(times) < 300  # 250 each
+    few = examples.distractors(rows, catalog.where("c IN ('c1', 'c2')"), "c", "gold", "id", 5, 1).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in few} == {i: 1 if i < 600 and i % 12 in (1, 2) else 2 for i in range(602)}
+    assert examples.distractors(rows, catalog.where("c = 'x'"), "c", "gold", "id", 5, 1).count() == 0
+
+
+def test_percentiles_match_numpy(spark):
+    import numpy as np
+
+    from quaestor.operators.ordered import percentiles
+
+    draw = np.random.default_rng(3)
+    data = [(g, float(v)) for g in ("a", "b", None) for v in draw.integers(0, 40, 300)] + [("one", 2.5), ("none", None)]
+    rows = spark.createDataFrame(data, "g string, v double")
+    got = {r["g"]: r["p"] for r in percentiles(rows, "g", "v", [0.0, 0.37, 0.5, 1.0]).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, p in got.items():
+        assert np.allclose(p, np.quantile([v for h, v in data if h == g], [0.0, 0.37, 0.5, 1.0]))
+
+
+def test_round_robin_of_a_hot_class(spark):
+    from quaestor.operators.selection import round_robin
+
+    rows = spark.range(5000).selectExpr("id", "0 AS w", "CASE WHEN id % 50 = 0 THEN id % 3 ELSE 7 END AS c")
+    got = [r["c"] for r in round_robin(rows, ["w"], "c", 60, 1, "id").collect()]
+    assert {c: got.count(c) for c in set(got)} == {0: 15, 1: 15, 2: 15, 7: 15}
+
+
+def test_reuse_fails_where_something_is_missing(spark):
+    from quaestor.operators.requests import checked_lookup, reused
+    from quaestor.operators.manifest import fingerprint
+
+    earlier = spark.createDataFrame([(1, "p", "ok", 0.5), (2, "p", "failed", 0.1)], "id long, payload string, status string, answer double")
+    ask = lambda i, p: reused(spark.createDataFrame([(i, p)], "id long, payload string"), earlier, "id", "payload", "status", "ok", "answer").collect()
+    assert ask(1, "p")[0]["answer"] == 0.5
+    for i, p, why in ((1, "q", "another payload"), (2, "p", "failed"), (3, "p", "missing")):
+        with pytest.raises(Exception, match=why):
+            ask(i, p)
+    train = spark.createDataFrame([(1, "x")], "id long, t string")
+    noted = tuple(fingerprint(train, train.columns).first())
+    found = earlier.select("id", "answer")
+    assert checked_lookup(train, found, "id", "answer", train, noted).count() == 1
+    with pytest.raises(ValueError, match="other rows"):
+        checked_lookup(train, found, "id", "answer", spark.createDataFrame([(1, "y")], "id long, t string"), noted)
+
+
+def test_cover_takes_strata_then_one_special_row(spark):
+    from quaestor.operators.selection import cover
+
+    rows = spark.range(60).selectExpr("id", "id % 5 AS s", "id >= 50 AS special", "concat('h', lpad(id, 3, '0')) AS h")
+    got = [r["id"] for r in cover(rows, "s", rows["special"], ["h"], "id", 8).orderBy("h").collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 6, 50]
+
 
 
 def test_leaf_strings_of_any_depth(spark):

@@ -49,6 +49,6 @@ def test_scored_requests_reads_whole_texts(spark):
     assert {r["doc_id"]: r["logits"] for r in plans.QUERIES["scored_requests"](spark, DATA).collect()} == want
 
 
-@pytest.mark.parametrize(("name", "rows"), [("gen_deadlines", "SELECT 4 * count(*) FROM orders"), ("catalog_distractors", "SELECT 5 * count(DISTINCT l_orderkey) FROM lineitem WHERE l_linenumber = 1")])
+@pytest.mark.parametrize(("name", "rows"), [("gen_deadlines", "SELECT 4 * count(*) FROM orders"), ("catalog_distractors", "SELECT 5 * count(DISTINCT l_orderkey) FROM lineitem")])
 def test_reads_all_orders(spark, duck, name, rows):
     assert plans.QUERIES[name](spark, DATA).count() == duck.sql(rows).fetchall()[0][0]
