@@ -12,7 +12,8 @@ the places that are left. So only a group larger than a shard, and one unit at t
 divided.
 
 The law is `rows`: shards' counts are at most one apart. All of it is built-in functions; what meets the driver has a row
-for each pair of shards, what is broadcast one for each shard, power of two and one of BUCKETS buckets.
+for each pair of shards, what is broadcast one for each shard, power of two and bucket. A bucket, which one task sorts, has about
+ROWS rows; there are as many as that takes, and at least BUCKETS.
 
 A null text has no bytes and counts as equal to the empty one. Repeated rows are separate documents; rows without an id
 start anywhere; columns besides the id and the text are not read; a table without rows gives none.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from ..sources.session import Workspace
 
 SHARDS, ROUNDS, BUCKETS, FULL = 40, 12, 512, 2.0
+ROWS = 1_000_000
 
 
 def _bucket(*cols, n: int = BUCKETS) -> Column:
@@ -43,12 +45,17 @@ def _of(values: list[int], shard: Column) -> Column:
     return F.element_at(_list(values), shard + 1)
 
 
-def _before(rows: DataFrame, within: list[str], order: list[str], size: Column) -> DataFrame:
+def _buckets(rows: int) -> int:
+    """How many buckets so many rows take."""
+    return max(BUCKETS, -(-rows // ROWS))
+
+
+def _before(rows: DataFrame, within: list[str], order: list[str], size: Column, n: int = BUCKETS) -> DataFrame:
     """Adds `before`: the sum of sizes of rows that come before, by `order` (few values) and then by bucket and `key`.
 
     Rows are summed in groups of `within`, `order` and a bucket; the groups' sums are added up beside.
     """
-    rows = rows.withColumn("_b", _bucket(F.lit(17), "key")).withColumn("_n", size)
+    rows = rows.withColumn("_b", _bucket(F.lit(17), "key", n=n)).withColumn("_n", size)
     places = [*within, *order, "_b"]
     sums = rows.groupBy(*places).agg(F.sum("_n").alias("_m"))
     upto = F.sum("_m").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order, "_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
@@ -126,6 +133,7 @@ def shard(df: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     start = F.when(F.col("doc_id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
     base = work.write(rows.withColumn("s0", F.pmod(start, F.lit(n_shards)).cast("int")), "base")
     total = base.count()
+    all_, each = _buckets(total), _buckets(total // n_shards)  # for rows in one line, and for those of each shard
     share = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     blocks = base.groupBy("g", "s0").agg(F.count("*").alias("n"))
     linked = blocks.withColumn("all", F.sum("n").over(Window.partitionBy("g"))).where(F.col("all") > 1).drop("all")
@@ -133,7 +141,7 @@ def shard(df: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
 
     power = lambda n: -F.floor(F.log2(n)).cast("int")
     units = state.groupBy("g", "cur").agg(F.sum("n").alias("n")).withColumn("key", F.xxhash64("g", "cur")).withColumn("p", power(F.col("n")))
-    units = _before(units, ["cur"], ["p"], F.col("n"))
+    units = _before(units, ["cur"], ["p"], F.col("n"), each)
     room = _of(share, F.col("cur"))
     fits = F.when(F.col("before") + F.col("n") <= room, F.col("n")).when(F.col("before") == 0, room).otherwise(F.lit(0))
     units = work.write(units.select("g", "cur", "n", "key", fits.cast("long").alias("stay")), "units")
@@ -142,7 +150,7 @@ def shard(df: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
         free[r["cur"]] -= r["n"]
     places = _Places(free)
     over = units.where("stay < n").withColumn("p", power(F.col("n") - F.col("stay")))
-    over = _before(over, [], ["p"], F.col("n") - F.col("stay"))
+    over = _before(over, [], ["p"], F.col("n") - F.col("stay"), all_)
     first, last = places.shard(F.col("before")), places.shard(F.col("before") + F.col("n") - F.col("stay") - 1)
     over = over.select("g", "cur", "before", F.when((F.col("stay") == 0) & (first == last), first).alias("to"))
     over = work.write(over, "over")
@@ -153,10 +161,10 @@ def shard(df: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     rows = work.write(base.join(decided, ["g", "s0"], "left").drop("s0"), "rows")
     plain = rows.where("shard IS NOT NULL").select("doc_id", "size", "text_crc32", "key", "shard")
     # units that are divided, at most two for each shard
-    parts = _before(rows.where("cur IS NOT NULL AND shard IS NULL").withColumnRenamed("before", "at"), ["g", "cur"], [], F.lit(1).cast("long"))
+    parts = _before(rows.where("cur IS NOT NULL AND shard IS NULL").withColumnRenamed("before", "at"), ["g", "cur"], [], F.lit(1).cast("long"), each)
     parts = parts.withColumn("shard", F.when(F.col("before") < F.col("stay"), F.col("cur")).otherwise(places.shard(F.col("at") + F.col("before") - F.col("stay"))))
-    alone = _before(rows.where("cur IS NULL").drop("before"), [], [], F.lit(1).cast("long"))
+    alone = _before(rows.where("cur IS NULL").drop("before"), [], [], F.lit(1).cast("long"), all_)
     alone = alone.withColumn("shard", places.shard(F.col("before") + F.lit(n_over)))
     every = work.write(plain.unionByName(parts.select(plain.columns)).unionByName(alone.select(plain.columns)), "every")
-    out = _before(every, ["shard"], [], F.lit(1).cast("long"))
+    out = _before(every, ["shard"], [], F.lit(1).cast("long"), each)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

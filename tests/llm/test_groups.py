@@ -46,6 +46,14 @@ def test_a_group_larger_than_shards_fills_few_and_the_rest_stay_whole(spark):
     assert cut <= 0.05 * 3 * len(small)
 
 
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    assert sharding._buckets(10**6) == sharding.BUCKETS and sharding._buckets(10**11) == 10**5
+    monkeypatch.setattr(sharding, "BUCKETS", 2)
+    monkeypatch.setattr(sharding, "ROWS", 50)
+    by = spread(spark, [(i, f"text {i // 2}") for i in range(900)] + [(1000 + i, f"alone {i}") for i in range(300)], 5)
+    assert sum(len(by[f"text {i}"]) == 1 for i in range(450)) >= 0.95 * 450
+
+
 def test_all_texts_equal_and_few_rows(spark):
     assert len(spread(spark, [(i, "same") for i in range(50)], 7)["same"]) == 7
     spread(spark, [(i, None) for i in range(3)], 7)
