@@ -143,8 +143,8 @@ def stratified_cover(spark, d):
 
 @query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ',') || '|' || label) AS key FROM embeddings")
 def cache_key(spark, d):
-    """A key of numbers and a label for a cache, the same for equal rows."""
-    numbers = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",")
+    """A key of numbers and a label for a cache, the same for equal rows. Thousandths are of single precision, as the numbers are."""
+    numbers = F.array_join(F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("long").cast("string")), ",")
     return table(spark, d, "embeddings").select("vec_id", F.sha2(F.concat(numbers, F.lit("|"), F.col("label").cast("string")), 256).alias("key"))
 
 
