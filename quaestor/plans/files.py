@@ -51,11 +51,11 @@ def seeded_first_rows(spark, d):
     return readers.bounded(table(spark, d, "orders"), 1000, 7, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {seeded(3, 'doc_id')}, doc_id) <= 20")
+@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {seeded(3, 'doc_id')}, doc_id) <= 40000")
 def bounded_sources(spark, d):
-    """At most twenty rows of each source, in a seeded order: a sample is what is asked for."""
+    """At most 40,000 rows of each source, in a seeded order."""
     rows = table(spark, d, "documents").select("doc_id", "source")
-    return S.hash_limit(S.salted_first(rows, ["source"], [K.seeded(3, "doc_id"), "doc_id"], 20, ["doc_id"]), 20, 3, "doc_id", within=["source"])
+    return S.hash_limit(S.salted_first(rows, ["source"], [K.seeded(3, "doc_id"), "doc_id"], 40_000, ["doc_id"]), 40_000, 3, "doc_id", within=["source"])
 
 
 #: Per source of examples: table, type, id, gold option and how many options there are; and its quota.
