@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .keys import col
 
 
+def bound(value, body) -> Column:
+    """body(x), where x stands for the value: it is worked out once, however often the body names it. An expression that a
+    lambda names is worked out again for each element otherwise."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def total(v) -> Column:
     return F.aggregate(col(v), F.lit(0.0), lambda a, x: a + x)
 
@@ -19,14 +25,13 @@ def dot(a, b) -> Column:
 def softmax(z, temperature=1.0) -> Column:
     """Shifted by the greatest logit."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(col(z), lambda x: F.exp((x - F.array_max(col(z))) / t))
-    return F.transform(e, lambda x: x / total(e))
+    scaled = lambda e: bound(total(e), lambda mass: F.transform(e, lambda x: x / mass))
+    return bound(z, lambda z: bound(F.array_max(z), lambda top: bound(F.transform(z, lambda x: F.exp((x - top) / t)), scaled)))
 
 
 def log_softmax(z) -> Column:
-    top = F.array_max(col(z))
-    norm = top + F.log(total(F.transform(col(z), lambda x: F.exp(x - top))))
-    return F.transform(col(z), lambda x: x - norm)
+    norm = lambda z, top: top + F.log(total(F.transform(z, lambda x: F.exp(x - top))))
+    return bound(z, lambda z: bound(bound(F.array_max(z), lambda top: norm(z, top)), lambda n: F.transform(z, lambda x: x - n)))
 
 
 def teacher_kl(z, teacher, temperature: float = 2.0) -> Column:
@@ -51,8 +56,7 @@ def smoothed(target, eps: float = 0.02) -> Column:
 def normalised(p) -> Column:
     """Negative entries become 0, the rest sum to 1; null where nothing is left."""
     clipped = F.transform(col(p), lambda x: F.greatest(x, F.lit(0.0)))
-    mass = total(clipped)
-    return F.when(mass > 0, F.transform(clipped, lambda x: x / mass))
+    return bound(clipped, lambda c: bound(total(c), lambda mass: F.when(mass > 0, F.transform(c, lambda x: x / mass))))
 
 
 def nll(p, target) -> Column:

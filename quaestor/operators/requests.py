@@ -24,9 +24,13 @@ def ensemble_by_key(keys: Column, p: Column, other_keys: Column, q: Column) -> C
     """The mean of two distributions by option key, in the order of the first, scaled to 1; null unless both have the
     same keys and are finite, not negative and of positive mass. Keys are compared as they are."""
     fine = lambda v: F.forall(v, lambda x: ~F.isnan(x) & (x >= 0) & (x < float("inf"))) & (V.total(v) > 0)
-    same = (F.size(keys) == F.size(other_keys)) & (F.sort_array(keys) == F.sort_array(other_keys)) & (F.size(keys) == F.size(p)) & (F.size(other_keys) == F.size(q))
-    mean = F.zip_with(keys, p, lambda k, x: (x + F.get(q, (F.array_position(other_keys, k) - 1).cast("int"))) / 2)
-    return F.when(same & fine(p) & fine(q), V.normalised(mean))
+
+    def mean(keys, p, other_keys, q):
+        same = (F.size(keys) == F.size(other_keys)) & (F.sort_array(keys) == F.sort_array(other_keys)) & (F.size(keys) == F.size(p)) & (F.size(other_keys) == F.size(q))
+        both = F.zip_with(keys, p, lambda k, x: (x + F.get(q, (F.array_position(other_keys, k) - 1).cast("int"))) / 2)
+        return F.when(same & fine(p) & fine(q), V.normalised(both))
+
+    return V.bound(keys, lambda k: V.bound(p, lambda x: V.bound(other_keys, lambda j: V.bound(q, lambda y: mean(k, x, j, y)))))
 
 
 def fitting_requests(rows: DataFrame, request: str, tokens: Column, limit: int) -> DataFrame:
