@@ -91,7 +91,7 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(cols, types)], names=names)
 
 
-def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """A row for each document with a set, and rows for shingles that are frequent in their partition."""
 
     def run(batches):
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
             for doc, got in zip(batch.column(0).to_pylist(), S.sets(batch.column(1), words)):
                 if len(got):
                     full, k = S.digest(got, seed)
-                    rows.append((doc, k, full, len(got), S.bitmap(got)))
+                    rows.append((doc, k, full, len(got), S.bitmap(got, percent)))
                     held.append(got)
                     size += len(got)
                     if size > 2_000_000:
@@ -334,7 +334,7 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id
     work, sc = Workspace(spark), spark.sparkContext
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     while True:
-        base = work.write(_sets(docs, words, seed), "base")
+        base = work.write(_sets(docs, words, percent, seed), "base")
         rows = base.where("k IS NOT NULL").select("doc_id", "k", "full", "n", "bits")
         classes = work.write(rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("full").alias("x"), F.max("full").alias("y"), F.min("bits").alias("bits")), "classes")
         if classes.where("x <> y").isEmpty():

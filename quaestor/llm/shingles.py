@@ -87,18 +87,19 @@ def digest(values: np.ndarray, seed: int) -> tuple[bytes, int]:
     return full, int.from_bytes(hashlib.blake2b(full, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
-def width(n: int) -> int:
-    """Bits of the bitmap of a set of n: a power of two, from 128 up, of a quarter to half of n."""
-    return max(128, 1 << max(0, (n - 1).bit_length() - 2))
+def width(n: int, percent: int = 80) -> int:
+    """Bits of the bitmap of a set of n: a power of two from 128 up to 65,536, of once to twice n; from 90 percent on, a
+    quarter of that is enough. In fewer, as many differences as the similarity allows look like any number of them."""
+    return min(1 << 16, max(128, 1 << max(0, (n - 1).bit_length() - (2 if percent >= 90 else 0))))
 
 
-def bitmap(values: np.ndarray) -> bytes:
+def bitmap(values: np.ndarray, percent: int = 80) -> bytes:
     """For each bit the parity of how many members of the set fall on it.
 
     Sets that differ in d members have bitmaps that differ in d bits at most. A bitmap of half the width is that of the
     two halves combined by exclusive or.
     """
-    w = width(len(values))
+    w = width(len(values), percent)
     odd = np.bincount(((values * np.uint64(MIX[1])) >> np.uint64(64 - w.bit_length() + 1)).astype(np.int64), minlength=w) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
