@@ -25,6 +25,7 @@ from . import held, tokens
 
 CAPACITY = 2048
 POOL = 4000  # remaining documents of a pool
+SLICE = 1_000_000  # bytes of text that are encoded at once, which bounds what a worker holds meanwhile
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kind string"
 
@@ -158,6 +159,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
 
+def _packed(batches, packer: Packer, tokenizer: str, end: bytes):
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        for a, b in tokens.slices(texts, SLICE):
+            for doc, got in zip(ids[a:b], tokens.encode_texts(tokenizer, [t or "" for t in texts.slice(a, b - a).to_pylist()])):
+                packer.add(doc, got + end)
+            if len(packer.out) > 20_000:
+                yield _batch(packer.pieces())
+    packer.settle(last=True)
+    yield _batch(packer.pieces())
+
+
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document in a window of at most `capacity` tokens."""
     held.bounded(df.sparkSession)
@@ -166,15 +179,6 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
     def run(batches):
         from pyspark import TaskContext
 
-        packer = Packer(TaskContext.get().partitionId() << 36, capacity, pool)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in tokens.slices(texts):
-                for doc, got in zip(ids[a:b], tokens.encode_texts(tokenizer, [t or "" for t in texts.slice(a, b - a).to_pylist()])):
-                    packer.add(doc, got + end)
-                if len(packer.out) > 20_000:
-                    yield _batch(packer.pieces())
-        packer.settle(last=True)
-        yield _batch(packer.pieces())
+        yield from _packed(batches, Packer(TaskContext.get().partitionId() << 36, capacity, pool), tokenizer, end)
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(held.task(run), SCHEMA)
