@@ -24,7 +24,6 @@ none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cached_property
 from itertools import groupby
 
@@ -44,6 +43,7 @@ from .tokens import slices
 MIN_WORDS, SHINGLE, PERCENT = 50, 5, 80
 BANDS, ROWS = 6, 3
 ANCHOR, STRIDE = 24, 27  # STRIDE + ANCHOR - 1 is MIN_WORDS
+SLICE = 1_000_000  # bytes of text that keys are made of at once
 BLOCK = 1 << 20  # bytes of the sets that a block of lines holds
 LOOSE = -1  # the surroundings of runs that are not all listed
 HOT, PARTS = 16, 1021  # rows of a key in a batch, from which on the key is dealt out in parts; and how many
@@ -59,15 +59,21 @@ _word = re.compile(r"[^ \t-\r]+")
 
 def band_keys(words: np.ndarray) -> np.ndarray:
     """The bands of one line."""
-    base = S.rolled(words, SHINGLE)
-    least = ((base[None, :] ^ (base[None, :] >> np.uint64(31))) * _seeds[:, None]).min(axis=1).reshape(BANDS, ROWS)
-    return S.rolled_rows(least) ^ np.arange(BANDS, dtype=np.uint64)
+    return _bands(S.rolled(words, SHINGLE), np.zeros(1, np.int64), np.array([len(words) - SHINGLE + 1]))[0]
 
 
-def _hashed(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+def _bands(shingled: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A row of bands for each line, by where its shingles start and stop."""
+    base = np.append(shingled ^ (shingled >> np.uint64(31)), np.uint64(0))  # a stop may be the end
+    cuts = np.stack([starts, stops], axis=1).ravel()
+    least = np.stack([np.minimum.reduceat(base * seed, cuts)[::2] for seed in _seeds], axis=1)
+    return S.rolled_rows(least.reshape(-1, ROWS)).reshape(-1, BANDS) ^ np.arange(BANDS, dtype=np.uint64)
+
+
+def _hashed(words: np.ndarray, starts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """A hash of the n words from each start on."""
-    raw = words.tobytes()
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * s : 8 * (s + n)]) for s in starts.tolist()), dtype=np.uint64, count=len(starts))
+    raw, stops = memoryview(words.tobytes()), 8 * (starts + n)
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip((8 * starts).tolist(), stops.tolist())), dtype=np.uint64, count=len(starts))
 
 
 def _least_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,31 +83,35 @@ def _least_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, np.arange(len(seen)) + seen.argmin(axis=1)
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum hashes of the overlapping paragraphs, where their words begin, and hashes of their surroundings."""
-    if len(words) < MIN_WORDS:
-        return words[:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def anchors(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum hashes of the overlapping paragraphs of texts laid end to end, which text each is of, where in it its words
+    begin, and hashes of their surroundings."""
+    firsts = np.append(0, ends[:-1])
+    if not len(words) or (ends - firsts).max() < MIN_WORDS:
+        return words[:0], *(np.zeros(0, dtype=np.int64) for _ in range(3))
     runs, at = _least_runs(words)
-    at = np.unique(at)
-    loose = np.zeros(len(at), dtype=bool)
-    if len(at) > 1:  # of one run again and again, one in each paragraph stands for all
-        same = runs[at[1:]] == runs[at[:-1]]
-        loose[1:] |= same
-        loose[:-1] |= same
-        keep = np.concatenate([[True], ~same | (at[1:] % STRIDE == 0)])
-        at, loose = at[keep], loose[keep]
-    # words before the text begins and after it ends are 0
-    around = np.concatenate([np.zeros(STRIDE - 1, np.uint64), words, np.zeros(STRIDE - 1, np.uint64)])
-    cls = (_hashed(around, at, MIN_WORDS + STRIDE - 1) >> np.uint64(1)).view(np.int64)
-    return runs[at], at, np.where(loose, LOOSE, cls)
-
-
-def passages(words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the paragraphs whose least run is one of the keys, and where that run begins.
+    of = np.repeat(np.arange(len(ends)), ends - firsts)
+    at = at[of[: len(at)] == of[MIN_WORDS - 1 :]]  # paragraphs of one text
+    at = at[np.append(True, at[1:] != at[:-1])]  # least runs never go back
+    of = of[at]
+    # of one run again and again, one in each paragraph stands for all
+    same = (runs[at[1:]] == runs[at[:-1]]) & (of[1:] == of[:-1])
+    loose = np.append(False, same) | np.append(same, False)
+    keep = np.append(True, ~same | ((at - firsts[of])[1:] % STRIDE == 0))
+    at, loose, of = at[keep], loose[keep], of[keep]
+    # words before a text begins and after it ends are 0; no surroundings reach beyond those between two texts
+    gap = STRIDE - 1
+    around = np.zeros(len(words) + gap * (len(ends) + 1), np.uint64)
+    around[np.arange(len(words)) + np.repeat(gap * np.arange(1, len(ends) + 1), ends - firsts)] = words
+    cls = (_hashed(around, at + gap * of, MIN_WORDS + STRIDE - 1) >> np.uint64(1)).view(np.int64)
+    return runs[at], of, at - firsts[of], np.where(loose, LOOSE, cls)
+
+
+def passages(words: np.ndarray, keys: np.ndarray, runs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the paragraphs whose least run is one of the keys, and where that run begins; runs, at: _least_runs(words).
 
     Of equal paragraphs of one text that touch, those that cover all of them.
     """
-    runs, at = _least_runs(words)
     starts = np.flatnonzero(np.isin(runs[at], keys))
     whole = _hashed(words, starts, MIN_WORDS)
     if len(np.unique(whole)) == len(whole):
@@ -134,33 +144,29 @@ def _parts(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows_of(texts: list[str]) -> Iterator[list[tuple]]:
-    """For each text (keys, classes, lines, positions) of its long lines and of its anchors."""
+def _rows_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Keys, classes, texts, lines and positions of the texts' long lines and of their anchors."""
     words = S.words_of(texts)
     breaks = np.flatnonzero(words.raw == ord("\n"))
     begins, stops = np.append(0, breaks + 1), np.append(breaks, len(words.raw))
     upto = np.append(0, np.searchsorted(words.starts, stops))
     long = np.flatnonzero(np.diff(upto) >= MIN_WORDS)
-    # bytes that begin a character, for places within texts
-    chars = np.append(0, np.cumsum((words.raw & 0xC0) != 0x80))
-    first_line, first_word, at = 0, 0, 0
-    ends = (np.cumsum([len(t) + 1 for t in texts]) - 1).tolist()
-    for text, last_word, end in zip(texts, words.ends.tolist(), ends):
-        out, start = [], end - len(text)
-        lines = text.count("\n") + 1
-        while at < len(long) and long[at] < first_line + lines:
-            k = int(long[at])
-            own = words.hashes[upto[k] : upto[k + 1]]
-            name = _hashed(own, np.zeros(1, np.int64), len(own))
-            cls, pos = np.full(BANDS + 1, name.view(np.int64)[0]), np.full(BANDS + 1, -1, np.int32)
-            cls[-1], pos[-1] = int(chars[begins[k]] - start) << 32 | int(chars[stops[k]] - start), -2 - len(own)
-            out.append((np.append(band_keys(own), name), cls, np.full(BANDS + 1, k - first_line, np.int32), pos))
-            at += 1
-        keys, where, cls = anchors(words.hashes[first_word:last_word])
-        if len(keys):
-            out.append((keys, cls, np.full(len(keys), -1, np.int32), where.astype(np.int32)))
-        yield out
-        first_line, first_word = first_line + lines, last_word
+    keys, of, pos, cls = anchors(words.hashes, words.ends)
+    out = [(keys, cls, of, np.full(len(of), -1), pos)]
+    if len(long):
+        # bytes that begin a character, for places within texts
+        chars = np.append(0, np.cumsum((words.raw & 0xC0) != 0x80))
+        firsts = np.append(0, np.cumsum([t.count("\n") + 1 for t in texts]))  # lines
+        doc = np.searchsorted(firsts, long, side="right") - 1
+        start = np.append(0, np.cumsum([len(t) + 1 for t in texts]))[doc]
+        x, y = upto[long], upto[long + 1]
+        name = _hashed(words.hashes, x, y - x)
+        bands = _bands(S.rolled(words.hashes, SHINGLE), x, y - SHINGLE + 1)
+        line = long - firsts[doc]
+        each = lambda v: np.repeat(v, BANDS)
+        out.append((bands.ravel(), each(name.view(np.int64)), each(doc), each(line), np.full(BANDS * len(long), -1)))
+        out.append((name, (chars[begins[long]] - start) << 32 | (chars[stops[long]] - start), doc, line, -2 - (y - x)))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -173,14 +179,11 @@ def _keys(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, ths, texts = batch.columns
-            for a, b in slices(texts):
-                part = texts.slice(a, b - a).to_pylist()
-                out = [(*got, id_, th) for id_, th, found in zip(ids[a:b].to_pylist(), ths[a:b].to_pylist(), _rows_of(part)) for got in found]
-                if out:
-                    sizes = [len(o[0]) for o in out]
-                    whole = lambda k: np.concatenate([o[k] for o in out])
-                    keys = whole(0).view(np.int64)
-                    yield _rows(KEYS, [keys, _parts(keys), whole(1), np.repeat(np.array([o[4] for o in out], np.int64), sizes), np.repeat(np.array([o[5] for o in out], np.int64), sizes), whole(2), whole(3)])
+            for a, b in slices(texts, SLICE):
+                keys, cls, of, line, pos = _rows_of(texts.slice(a, b - a).to_pylist())
+                if len(keys):
+                    keys, of = keys.view(np.int64), pa.array(of)
+                    yield _rows(KEYS, [keys, _parts(keys), cls, ids.slice(a, b - a).take(of), ths.slice(a, b - a).take(of), line.astype(np.int32), pos.astype(np.int32)])
 
     return docs.mapInArrow(held.task(run), KEYS)
 
@@ -324,8 +327,9 @@ def _passage_keys(texts: DataFrame, live: DataFrame) -> DataFrame:
             ids, ths, texts, keys = batch.columns
             for a, b in slices(texts):
                 words = S.words_of(texts.slice(a, b - a).to_pylist())
-                firsts = np.append(0, words.ends)
-                got = [passages(words.hashes[x:y], np.array(k, np.int64).view(np.uint64)) for x, y, k in zip(firsts, firsts[1:], keys[a:b].to_pylist())]
+                firsts, (runs, at) = np.append(0, words.ends), _least_runs(words.hashes)
+                # texts with a run have a paragraph at least; those of a text never look beyond it
+                got = [passages(words.hashes[x:y], np.array(k, np.int64).view(np.uint64), runs[x:y], at[x : y - MIN_WORDS + 1] - x) for x, y, k in zip(firsts, firsts[1:], keys[a:b].to_pylist())]
                 sizes = [len(g[0]) for g in got]
                 key, at = (np.concatenate([g[k] for g in got]) for k in (0, 1))
                 key, n = key.view(np.int64), len(key)
